@@ -21,8 +21,8 @@ import public_tokenizers
 import regex
 from tokenizers import Tokenizer
 
-#: Parts remembered before the memory is emptied: about 150 MB.
-MOST = 700_000
+#: Parts remembered in all: about 80 MB. Half of them are those met last, the other half older ones.
+MOST = 300_000
 PART = re.compile(r"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
 #: What no part can be cut by: white space other than ASCII's, controls, marks after white space.
 ODD_SET = "\x00-\x08\x0e-\x1f\x7f-\xa0 ᠎ -‏ -  -⁯　﻿"
@@ -49,6 +49,7 @@ class WordCache:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
         self.most = most
         with open(path) as f:
@@ -112,22 +113,26 @@ class WordCache:
             elif not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[-1] in " \n" or MIXED.search(text)):
                 head, *parts = text.replace("\n", " \n").split(" ")
                 if head not in first:
-                    if len(first) > self.most:
+                    if 4 * len(first) > self.most:
                         first.clear()
                     self._more([head], first, "")
                 try:
                     got = b"".join(map(known.__getitem__, parts))
                 except KeyError:
-                    if len(known) > self.most:
-                        known.clear()
-                    self._more([x for x in set(parts) if x not in known], known, " ")
+                    if 2 * len(known) > self.most:
+                        self.old, self.known = known, {}
+                        known = self.known
+                    new, old = {x for x in parts if x not in known}, self.old
+                    if old:
+                        known.update((x, old[x]) for x in new if x in old)
+                    self._more([x for x in new if x not in known], known, " ")
                     got = b"".join(map(known.__getitem__, parts))
                 out.append(first[head] + got)
             elif ODD.search(text):
                 out += self._encode([text])
             else:
                 parts = PART.findall(text)
-                if len(first) > self.most:
+                if 4 * len(first) > self.most:
                     first.clear()
                 self._more([x for x in set(parts) if x not in first], first, "")
                 out.append(b"".join(map(first.__getitem__, parts)))
