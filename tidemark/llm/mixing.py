@@ -145,12 +145,12 @@ WITH sized AS (
   SELECT source, source_size, tilt, coalesce(least(cap::DOUBLE, fixed * weight), cap::DOUBLE) AS target FROM levels LEFT JOIN fixed ON TRUE
 ), placed AS (
   SELECT s.doc_id, s.size, t.source_size, t.target, t.tilt, floor(t.target)::BIGINT AS demand,
-    (sum(s.size) OVER (PARTITION BY s.source ORDER BY md5(coalesce(s.doc_id::VARCHAR, '')), s.doc_id, s.size ROWS UNBOUNDED PRECEDING) - s.size)::BIGINT AS at
+    (sum(s.size) OVER (PARTITION BY s.source ORDER BY md5(coalesce(s.doc_id::VARCHAR, '')), s.doc_id, s.size ROWS UNBOUNDED PRECEDING) - s.size)::BIGINT AS begins
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target,
-  (greatest(0, least(size, demand - at)) + greatest(0, least(size, demand - (at + source_size))))::BIGINT AS taken,
-  CASE WHEN at < demand THEN CASE WHEN tilt = 0 THEN at::DOUBLE / target ELSE (sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * (at::DOUBLE / target)) - (1 - tilt)) / (2 * tilt) END END AS first_position,
-  CASE WHEN at + source_size < demand THEN CASE WHEN tilt = 0 THEN (at + source_size)::DOUBLE / target ELSE (sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * ((at + source_size)::DOUBLE / target)) - (1 - tilt)) / (2 * tilt) END END AS second_position
+  (greatest(0, least(size, demand - begins)) + greatest(0, least(size, demand - (begins + source_size))))::BIGINT AS taken,
+  CASE WHEN begins < demand THEN CASE WHEN tilt = 0 THEN begins::DOUBLE / target ELSE (sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * (begins::DOUBLE / target)) - (1 - tilt)) / (2 * tilt) END END AS first_position,
+  CASE WHEN begins + source_size < demand THEN CASE WHEN tilt = 0 THEN (begins + source_size)::DOUBLE / target ELSE (sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * ((begins + source_size)::DOUBLE / target)) - (1 - tilt)) / (2 * tilt) END END AS second_position
 FROM placed
 """

@@ -18,7 +18,7 @@ WINDOW = 8
 CLASSES = {"lower": "a-z", "upper": "A-Z", "digit": "0-9", "space": r"\x20\x09-\x0D", "stop": r".,;:!?'\"()\-", "mark": r"#*$%&|<>@~\^_=+/\\{}\[\]`"}
 COMMON_WORDS, COMMON_LETTERS = 40, 5
 MIN_CHARS, MIN_WORDS = 120, 60
-MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.45, 0.75
+MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.32, 0.8
 
 
 def _let(value: Column, body) -> Column:
