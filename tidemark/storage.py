@@ -24,6 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
             _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="tidemark-")
             spark.sparkContext.setCheckpointDir(_LOCAL[app])
         root = _LOCAL[app]
+    if "://" not in root:  # name the file system, for readers that are not Spark's
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        root = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
     return f"{root.rstrip('/')}/tidemark-{app}"
 
 
