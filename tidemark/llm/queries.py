@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import langid, mixing, packing, quality, secrets, simhash, tokenstore
+from tidemark.llm import langid, mixing, packing, quality, rpforest, secrets, simhash, tokenstore, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,14 @@ def op7_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.op7_token_store(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rpforest.op8_embedding_dedup(_table(spark, sf_dir, "embeddings"))
+
+
+def op10_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.op10_warc(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_mixing": op2_mixing,
@@ -50,6 +58,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_token_id_output": op7_token_id_output,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
+    "op10_warc_normaliser": op10_warc_normaliser,
 }
 
 ORACLES: dict[str, str] = {"op2_mixing": mixing.OP2_SQL, "op3_secret_scan": secrets.OP3_SQL}
