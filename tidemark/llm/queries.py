@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import langid, mixing, packing, quality, rpforest, secrets, simhash, tokenstore, warc
+from tidemark.llm import langid, mixing, packing, quality, rpforest, secrets, simhash, tokenstore, transcripts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rpforest.op8_embedding_dedup(_table(spark, sf_dir, "embeddings"))
 
 
+def op9_chat_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transcripts.op9_chat_transcripts(_table(spark, sf_dir, "conversations"))
+
+
 def op10_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.op10_warc(_table(spark, sf_dir, "pages"))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_token_id_output": op7_token_id_output,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
+    "op9_chat_transcripts": op9_chat_transcripts,
     "op10_warc_normaliser": op10_warc_normaliser,
 }
 
