@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.plans import scoring, sessions
+
 FLAGSHIP = "bursts_gap_islands"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**sessions.QUERIES, **scoring.QUERIES}
+ORACLES: dict[str, str] = {**sessions.ORACLES, **scoring.ORACLES}
