@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import evidence, scoring, sessions
+from tidemark.plans import evidence, models, scoring, sessions
 
 FLAGSHIP = "bursts_gap_islands"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**sessions.QUERIES, **scoring.QUERIES, **evidence.QUERIES}
-ORACLES: dict[str, str] = {**sessions.ORACLES, **scoring.ORACLES, **evidence.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**sessions.QUERIES, **scoring.QUERIES, **evidence.QUERIES, **models.QUERIES}
+ORACLES: dict[str, str] = {**sessions.ORACLES, **scoring.ORACLES, **evidence.ORACLES, **models.ORACLES}
