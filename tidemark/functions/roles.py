@@ -41,7 +41,11 @@ def pattern(role: str) -> str:
 
 def classify_host(host: Column, primary: Column) -> Column:
     """The first role of the cascade whose pattern the host matches; the first party comes after url_shortener."""
-    h = normalize_host(host)
+    pair = F.struct(normalize_host(host).alias("h"), normalize_host(primary).alias("p"))
+    return F.element_at(F.transform(F.array(pair), lambda x: _cascade(x["h"], x["p"])), 1)
+
+
+def _cascade(h: Column, primary: Column) -> Column:
     out = F.when(h == "", "unknown")
     for role in DOMAINS:
         if role == "hosting_platform":
