@@ -162,3 +162,51 @@ def test_manifest_rejects_repeats(spark, tmp_path):
     (tmp_path / "m.jsonl").write_text('{"capture_id": "a"}\n{"capture_id": "a"}\n')
     with pytest.raises(Exception, match="repeated capture_id"):
         documents.read_manifest(spark, str(tmp_path / "m.jsonl")).collect()
+
+
+def test_blocks_carry_survivors_and_forget_the_suppressed(spark):
+    from tidemark.operators import sites
+
+    rng = random.Random(8)
+    rows = [(c, i, float(rng.randrange(100)), float(rng.randrange(9))) for c in range(4) for i in range(40)]
+    got = {c: [] for c in range(4)}
+    for r in sites.suppress_in_blocks(spark.createDataFrame(rows, "capture_id long, event_id long, ts double, score double"), 7.0, 20.0, 1.0).orderBy("capture_id", "rank").collect():
+        assert r.emit_ts >= r.ts + 8
+        got[r.capture_id].append(r.event_id)
+    for c in range(4):
+        mine = [(-s, t, i) for cc, i, t, s in rows if cc == c]
+        t0, carry, out = min(t for _, t, _ in mine), [], []
+        for b in range(6):
+            end = t0 + 20 * (b + 1)
+            kept = []
+            for x in sorted(carry + [m for m in mine if end - 20 <= m[1] < end]):
+                if all(abs(x[1] - k[1]) > 7 for k in kept):
+                    kept.append(x)
+            carry = [k for k in kept if k[1] >= end - 7]
+            out += [k for k in kept if k[1] < end - 7]
+        assert got[c] == [i for _, t, i in sorted(out + carry, key=lambda k: (k[1], k[2]))]
+
+
+def test_addresses_and_ends(spark):
+    from tidemark.operators import sites
+
+    rows = [(1, "10.0.0.5", "8.8.8.8", 50000, 443, 2), (1, "8.8.8.8", "10.0.0.5", 443, 50000, 18), (2, "9.9.9.9", "8.8.4.4", 1, 80, 2), (2, "8.8.4.4", "9.9.9.9", 80, 1, 16)]
+    df = spark.createDataFrame(rows, "capture_id long, src_ip string, dst_ip string, src_port int, dst_port int, tcp_flags int")
+    assert {r.capture_id: r.ip for r in sites.local_address(df).collect()} == {1: "10.0.0.5", 2: "9.9.9.9"}
+    assert sorted((r.capture_id, r.direction) for r in sites.with_direction(df).collect()) == [(1, "down"), (1, "up"), (2, "down"), (2, "up")]
+
+
+def test_clusters_presets_and_sinks(spark, tmp_path):
+    from tidemark.operators import audits
+    from tidemark.sources import sinks
+
+    d = [[0, .1, .9, .9], [.1, 0, .8, .9], [.9, .8, 0, .2], [.9, .9, .2, 0]]
+    assert audits.average_linkage(d, 0.5) == [0, 0, 1, 1] and audits.average_linkage(d, 2) == [0, 0, 0, 0] and audits.average_linkage(d, 0.05) == [0, 1, 2, 3]
+    df = spark.createDataFrame([(1, 2.0, 4.0, "x"), (2, 3.0, 6.0, "y"), (3, 1.0, 2.1, "z")], "rpc_n int, a_x double, a_y double, name string")
+    assert audits.feature_columns(df, parts=["rpc"]) == ["a_x", "a_y"] and audits.prune_correlated(df, ["a_x", "a_y"]) == ["a_x"]
+    assert audits.preset(df.columns, {"base": {"prefixes": ["a_", "rpc"]}, "without": ["rpc"]}) == ["a_x", "a_y"]
+    path = str(tmp_path / "t")
+    assert sinks.append_new(df, path, "name") == 3 and sinks.append_new(df, path, "name") == 0 and spark.read.parquet(path).count() == 3
+    assert sinks.merged_config({"a": {"b": 1, "c": 2}}, {"a": {"b": 3}}) == {"a": {"b": 3, "c": 2}}
+    assert sinks.run_contract({"x": 1}, {"t": df})["fingerprint"] == sinks.run_contract({"x": 1}, {"t": df})["fingerprint"]
+    assert "| rpc_n |" in sinks.markdown(df.select("rpc_n"))

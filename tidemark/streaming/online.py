@@ -11,7 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def session_bursts(events: DataFrame, ts: str, key: str, gap: str, late: str) -> DataFrame:
-    """Bursts by Spark's session window, closed when the watermark passes. A gap equal to the limit splits here, unlike in bursts()."""
+    """Bursts by Spark's session window, closed when the watermark passes. As in bursts(), a gap equal to the limit stays."""
     return (events.withWatermark(ts, late).groupBy(F.session_window(ts, gap), key)
             .agg(F.count("*").alias("n_pkts"), F.sum("length").cast("long").alias("bytes_total"))
             .select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n_pkts", "bytes_total"))
