@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.arrowio import slices
 
-WIDTH, SAMPLE_PER_LANG, MOST_LANGS, EPOCHS, COST = 4096, 1200, 200, 12, 4.0
+WIDTH, SAMPLE_PER_LANG, MOST_LANGS, EPOCHS, COST = 4096, 500, 200, 12, 4.0
 UNKNOWN = "und"
 #: Families of closely related languages by ISO 639-1 code; a language in none of them is a family of its own.
 FAMILIES = {
@@ -80,7 +80,8 @@ class Model:
     """Family machines (one against the rest) and, in each family, a machine for each pair of languages."""
 
     def __init__(self, langs: list[str], x: np.ndarray):
-        bias = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)])
+        bias = np.ones((len(x), x.shape[1] + 1), dtype=np.float32)
+        bias[:, :-1] = x
         self.langs = sorted(set(langs))
         self.families = sorted({family(c) for c in self.langs})
         fams, labels = np.array([family(c) for c in langs]), np.array(langs)
@@ -119,22 +120,21 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     """Train on per_lang rows of each language at most: those with the smallest hashes of their ids.
 
     Only rows with a label and a letter teach. The sample is bounded by
-    per_lang * MOST_LANGS rows; more labels than that is an error. Texts are
-    read once for their hashes' sake (ids only) and once for the sample; what
-    reaches the driver is a vector of WIDTH numbers for each sampled row.
-    None if no row teaches.
+    per_lang * MOST_LANGS rows; more labels than that is an error. Labels are
+    counted first, then the sample's texts are read; what reaches the driver
+    is a vector of WIDTH numbers for each sampled row. None if no row teaches.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    hashed = rows.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.lit(11)).alias("h"))
-    few = Window.partitionBy("lang").orderBy("h")
-    limits = hashed.withColumn("k", F.row_number().over(few)).where(F.col("k") <= per_lang).groupBy("lang").agg(F.max("h").alias("h")).collect()
-    if not limits:
+    counts = labelled.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).count().limit(MOST_LANGS + 1).collect()
+    if not counts:
         return None
-    if len(limits) > MOST_LANGS:
-        raise ValueError(f"{len(limits)} languages; at most {MOST_LANGS}")
+    if len(counts) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
+    # about twice the sample is read, by hash, and the smallest hashes of that are taken
+    place = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit(11)), 12) / F.lit(2.0**52)
     within = F.lit(False)
-    for r in limits:
-        within = within | ((F.col(lang_col) == r.lang) & (F.xxhash64(F.col(id_col), F.lit(11)) <= r.h))
+    for r in counts:
+        within = within | ((F.col(lang_col) == r.lang) & (place < min(1.0, 2 * per_lang / r["count"])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for langs, hashes, texts in slices(batches):
@@ -147,9 +147,13 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     taught = taught.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "v"))).where(F.col("k") <= per_lang).drop("k").toArrow()
     if not taught.num_rows:
         return None
-    x = np.frombuffer(b"".join(taught["v"].to_pylist()), dtype="<f4").reshape(-1, WIDTH)
-    order = np.lexsort((taught["h"].to_numpy(), np.array(taught["lang"].to_pylist())))
-    return Model([taught["lang"][int(i)].as_py() for i in order], x[order])
+    langs = taught["lang"].to_pylist()
+    order = np.lexsort((taught["h"].to_numpy(), np.array(langs)))
+    x = np.empty((len(langs), WIDTH), dtype=np.float32)
+    for k, i in enumerate(order.tolist()):
+        x[k] = np.frombuffer(taught["v"][i].as_buffer(), dtype="<f4")
+    del taught
+    return Model([langs[i] for i in order], x)
 
 
 def held_out(id_col: str = "doc_id"):
