@@ -27,10 +27,21 @@ def _let(value: Column, body) -> Column:
 
 
 def class_counts(text: Column) -> Column:
-    """Counts of the classes in code points, as listed, all others last."""
-    each = [F.length(F.regexp_replace(text, f"[^{s}]+", "")) for s in CLASSES.values()]
-    every = "".join(CLASSES.values())
-    return F.array(*each, F.length(F.regexp_replace(text, f"[{every}]+", ""))).cast("array<double>")
+    """Counts of the classes in code points, as listed, all others last, as doubles.
+
+    Classes are taken out one after another, the commonest first, so only the
+    first pattern reads the whole text.
+    """
+    order = sorted(CLASSES, key=["lower", "space", "upper", "stop", "digit", "mark"].index)
+    start = F.struct(text.alias("t"), F.array().cast("array<double>").alias("n"))
+
+    def take(state: Column, name: str) -> Column:
+        return _let(state, lambda s: _let(F.regexp_replace(s["t"], f"[{CLASSES[name]}]+", ""), lambda rest: F.struct(rest.alias("t"), F.concat(s["n"], F.array((F.length(s["t"]) - F.length(rest)).cast("double"))).alias("n"))))
+
+    state = start
+    for name in order:
+        state = take(state, name)
+    return _let(state, lambda s: F.concat(F.array(*[F.get(s["n"], F.lit(order.index(c))) for c in CLASSES]), F.array(F.length(s["t"]).cast("double"))))
 
 
 def words_of(text: Column) -> Column:
