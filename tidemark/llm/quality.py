@@ -167,3 +167,42 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 def op5_quality(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept."""
     return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _jsd_sql(p: str, q: str) -> str:
+    return f"{p} * log2(2 * {p} / ({p} + {q})) + CASE WHEN {q} > 0 THEN {q} * log2(2 * {q} / ({p} + {q})) ELSE 0 END - {q}"
+
+
+def _op5_sql() -> str:
+    names = list(CLASSES)
+    each = ", ".join("length(regexp_replace(text, '[^{}]+', '', 'g'))::DOUBLE".format(CLASSES[c].replace("'", "''")) for c in names)
+    other = "length(regexp_replace(text, '[{}]+', '', 'g'))::DOUBLE".format("".join(CLASSES.values()).replace("'", "''"))
+    return f"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD_CHAR}') AS w FROM documents),
+f AS (SELECT *, [{each}, {other}] AS c, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{WORD_CHAR}')) AS lines, list_transform(w, lambda x: lower(x)) AS lw FROM t),
+win AS (SELECT rid, i, w[i:i + {WINDOW - 1}] AS k FROM (SELECT rid, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM t)),
+rep AS (SELECT rid, i FROM win QUALIFY count(*) OVER (PARTITION BY rid, k) > 1),
+cov AS (SELECT rid, count(DISTINCT i + j) AS n FROM rep, (SELECT unnest(range(0, {WINDOW})) AS j) GROUP BY 1),
+cb AS (SELECT rid, lang, unnest(range(1, {len(names) + 2})) AS b, unnest(c) AS n FROM f),
+cr AS (SELECT lang, b, sum(n) / nullif(sum(sum(n)) OVER (PARTITION BY lang), 0) AS q FROM cb GROUP BY lang, b),
+ct AS (SELECT rid, sum(n) AS total FROM cb GROUP BY 1),
+cd AS (SELECT rid, least(1, min(d)) AS d FROM (
+  SELECT x.rid, r.lang, sqrt(greatest(0, least(1, (sum({_jsd_sql("(x.n / total)", "coalesce(r.q, 0)")}) FILTER (x.n > 0) + any_value(s.q)) / 2))) AS d
+  FROM cb x JOIN ct USING (rid) JOIN cr r ON r.b = x.b JOIN (SELECT lang, coalesce(sum(q), 0) AS q FROM cr GROUP BY 1) s ON s.lang IS NOT DISTINCT FROM r.lang WHERE total > 0 GROUP BY x.rid, r.lang) GROUP BY 1),
+sw AS (SELECT rid, lang, unnest(lw) AS x FROM f),
+wc AS (SELECT lang, x, count(*) AS n FROM sw WHERE length(x) <= {COMMON_LETTERS} AND strlen(x) <= {2 * COMMON_LETTERS} AND regexp_matches(x, '^\\p{{L}}+$') GROUP BY lang, x QUALIFY row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, x) <= {COMMON_WORDS}),
+wr AS (SELECT lang, x, n / sum(n) OVER (PARTITION BY lang) AS q FROM wc),
+di AS (SELECT rid, x, count(*) AS n FROM sw WHERE x IN (SELECT x FROM wr) GROUP BY ALL),
+dt AS (SELECT rid, sum(n) AS total FROM di GROUP BY 1),
+lg AS (SELECT DISTINCT lang FROM f),
+wd AS (SELECT rid, least(1, min(d)) AS d FROM (
+  SELECT di.rid, lg.lang, sqrt(greatest(0, least(1, (sum({_jsd_sql("(di.n / total)", "coalesce(wr.q, 0)")}) + (lg.lang IS NOT DISTINCT FROM any_value(h.lang) AND any_value(h.has))::INT) / 2))) AS d
+  FROM di JOIN dt USING (rid) CROSS JOIN lg LEFT JOIN wr ON wr.x = di.x AND wr.lang IS NOT DISTINCT FROM lg.lang LEFT JOIN (SELECT lang, TRUE AS has FROM wr GROUP BY 1) h ON h.lang IS NOT DISTINCT FROM lg.lang GROUP BY di.rid, lg.lang) GROUP BY 1),
+o AS (SELECT doc_id, len(w)::BIGINT AS n_words, (list_sum(c) - c[{names.index("space") + 1}])::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words,
+  CASE WHEN length(text) >= {MIN_CHARS} THEN cd.d END AS class_d, CASE WHEN len(w) >= {MIN_WORDS} THEN coalesce(wd.d, 1.0) END AS word_d FROM f LEFT JOIN cov USING (rid) LEFT JOIN cd USING (rid) LEFT JOIN wd USING (rid)),
+v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM o)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(class_d, 0) <= {MAX_CLASS_DISTANCE} AND coalesce(word_d, 0) <= {MAX_WORD_DISTANCE} AS kept FROM v
+"""
+
+
+OP5_SQL = _op5_sql()

@@ -67,4 +67,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc_normaliser": op10_warc_normaliser,
 }
 
-ORACLES: dict[str, str] = {"op2_mixing": mixing.OP2_SQL, "op3_secret_scan": secrets.OP3_SQL}
+ORACLES: dict[str, str] = {"op2_mixing": mixing.OP2_SQL, "op3_secret_scan": secrets.OP3_SQL, "op5_quality_rules": quality.OP5_SQL}
