@@ -118,6 +118,32 @@ def test_boundaries_measure_from_the_first_kept(spark):
     assert [(r.ts, r.merged) for r in replay.merge_boundaries(df, 5.0).orderBy("ts").collect()] == [(0, 2), (6, 2)]
 
 
+def ranks_by_hand(rows, gap):
+    """(session, id) to rank: each next one the best that is far from all taken, else the best left."""
+    out = {}
+    for session in {r[0] for r in rows}:
+        left, took = sorted((-s, t, i) for c, i, t, s in rows if c == session), []
+        while left:
+            one = next((x for x in left if all(abs(x[1] - y[1]) >= gap for y in took)), left[0])
+            left.remove(one)
+            took.append(one)
+        out |= {(session, i): k for k, (_, _, i) in enumerate(took, 1)}
+    return out
+
+
+def test_diverse_rank_ranks_every_candidate(spark):
+    from tests.conftest import SF
+    from tidemark.plans import models
+
+    rng = random.Random(4)
+    rows = [(c, c * 100 + i, float(rng.randrange(40)), rng.randrange(5) / 4) for c in range(3) for i in range(60)] + [(9, 1, 5.0, 0.5)]
+    got = replay.diverse_rank(spark.createDataFrame(rows, "session_id long, candidate_id long, ts double, score double"), 6.0).collect()
+    assert len(got) == len(rows) and {(r.session_id, r.candidate_id): r["rank"] for r in got} == ranks_by_hand(rows, 6.0)
+    every = [tuple(r) for r in models._candidates(spark, SF).collect()]
+    got = models.diverse_rank(spark, SF).collect()
+    assert len(got) == len(every) and {(r.session_id, r.candidate_id): r["rank"] for r in got} == ranks_by_hand(every, 86400.0)
+
+
 def _frame(sport, dport, payload, proto=6):
     seg = struct.pack(">HHIIBBHHH", sport, dport, 0, 0, 5 << 4, 2, 0, 0, 0) + payload if proto == 6 else struct.pack(">HHHH", sport, dport, 8 + len(payload), 0) + payload
     ip = struct.pack(">BBHHHBBH4s4s", 0x45, 0, 20 + len(seg), 0, 0, 64, proto, 0, bytes([10, 0, 0, 1]), bytes([198, 18, 0, 1])) + seg

@@ -37,16 +37,20 @@ def earliest_alert(rows: DataFrame, k: int, threshold: float, session: str = "se
 
 
 def diverse_rank(rows: DataFrame, gap_s: float, session: str = "session_id") -> DataFrame:
-    """(session, candidate_id, rank): by falling score, but each next one at least gap_s from all taken while there is such a one."""
-    def pick(acc: Column, _: Column) -> Column:
-        far = F.filter(acc["left"], lambda x: ~F.exists(acc["took"], lambda y: F.abs(x["t"] - y["t"]) < gap_s))
-        one = F.coalesce(F.get(far, F.lit(0)), F.get(acc["left"], F.lit(0)))
-        return F.struct(F.filter(acc["left"], lambda x: x["id"] != one["id"]).alias("left"), F.concat(acc["took"], F.array(one)).alias("took"))
+    """(session, candidate_id, rank): by falling score, but each next one at least gap_s from all taken while there is such a one.
+
+    What is too near once stays so: one pass in order takes the spread ones, the rest follow in order.
+    The pass compares with those taken only, at most span / gap_s + 1 a session.
+    """
+    def pick(took: Column, x: Column) -> Column:
+        near = F.exists(took, lambda y: F.abs(x["t"] - y["t"]) < gap_s)
+        return F.when(~near, F.concat(took, F.array(x))).otherwise(took)
 
-    kind = "array<struct<n:double,t:double,id:bigint>>"
     e = rows.groupBy(session).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("n"), F.col("ts").alias("t"), F.col("candidate_id").alias("id")))).alias("e"))
-    start = F.struct(F.col("e").cast(kind).alias("left"), F.array().cast(kind).alias("took"))
-    return e.select(session, F.posexplode(F.aggregate("e", start, pick, lambda a: a["took"])).alias("i", "x")).select(session, F.col("x.id").alias("candidate_id"), (F.col("i") + 1).cast("long").alias("rank"))
+    at = F.transform("e", lambda x, i: F.struct(i.alias("i"), x["t"].alias("t")))
+    took = e.withColumn("took", F.transform(F.aggregate(at, F.array().cast("array<struct<i:int,t:double>>"), pick), lambda x: x["i"]))
+    order = F.concat(F.transform("took", lambda i: F.get("e", i)["id"]), F.transform(F.filter("e", lambda x, i: ~F.array_contains("took", i)), lambda x: x["id"]))
+    return took.select(session, F.posexplode(order).alias("i", "candidate_id")).select(session, "candidate_id", (F.col("i") + 1).cast("long").alias("rank"))
 
 
 def merge_boundaries(rows: DataFrame, merge_s: float, session: str = "session_id") -> DataFrame:

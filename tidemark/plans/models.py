@@ -90,8 +90,7 @@ def earliest_alert(spark, sf_dir):
 
 @query("")
 def diverse_rank(spark, sf_dir):
-    rows = _candidates(spark, sf_dir).where("candidate_id % 5 = 0")
-    return replay.diverse_rank(rows, 86400.0)
+    return replay.diverse_rank(_candidates(spark, sf_dir), 86400.0)
 
 
 @query(_CAND + """, f AS (SELECT session_id, k, ts, ts AS kept, candidate_id FROM cd WHERE k = 1 UNION ALL SELECT c.session_id, c.k, c.ts, CASE WHEN c.ts - f.kept <= 86400 THEN f.kept ELSE c.ts END, c.candidate_id FROM f JOIN cd c ON c.session_id = f.session_id AND c.k = f.k + 1)
