@@ -144,6 +144,22 @@ def test_diverse_rank_ranks_every_candidate(spark):
     assert len(got) == len(every) and {(r.session_id, r.candidate_id): r["rank"] for r in got} == ranks_by_hand(every, 86400.0)
 
 
+def test_token_clusters_use_short_words(spark, tmp_path):
+    """Four texts of words under nine characters, two of them of the same words: before, no word of them was left."""
+    from tidemark.operators import audits
+    from tidemark.plans import audits as plans
+
+    texts = ["red fox ran off", "off ran fox red", "blue cat sat on", "wet dog", " "]
+    spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.sample: r.cluster for r in plans.token_clusters(spark, str(tmp_path)).collect()}
+    assert sorted(got) == [0, 1, 2, 3] and got[0] == got[1] and len(set(got.values())) == 3
+    at_once, audits.TOKENS_AT_ONCE = audits.TOKENS_AT_ONCE, 2
+    try:
+        assert got == {r.sample: r.cluster for r in plans.token_clusters(spark, str(tmp_path)).collect()}
+    finally:
+        audits.TOKENS_AT_ONCE = at_once
+
+
 def _frame(sport, dport, payload, proto=6):
     seg = struct.pack(">HHIIBBHHH", sport, dport, 0, 0, 5 << 4, 2, 0, 0, 0) + payload if proto == 6 else struct.pack(">HHHH", sport, dport, 8 + len(payload), 0) + payload
     ip = struct.pack(">BBHHHBBH4s4s", 0x45, 0, 20 + len(seg), 0, 0, 64, proto, 0, bytes([10, 0, 0, 1]), bytes([198, 18, 0, 1])) + seg

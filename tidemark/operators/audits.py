@@ -109,6 +109,10 @@ def average_linkage(distance, threshold: float) -> list[int]:
     return out
 
 
+#: Columns of a block's matrix held at once, so that memory follows the samples and not the vocabulary.
+TOKENS_AT_ONCE = 4096
+
+
 def cluster_by_tokens(tokens: DataFrame, block: str, threshold: float) -> DataFrame:
     """(block, sample, cluster): average linkage of cosine distances of IDF vectors within each block, whose size the caller bounds."""
     total = tokens.select("sample").distinct().count()
@@ -119,10 +123,19 @@ def cluster_by_tokens(tokens: DataFrame, block: str, threshold: float) -> DataFr
         import numpy as np
         import pandas as pd
 
-        m = g.pivot_table(index="sample", columns="token", values="w", aggfunc="first", fill_value=0.0).sort_index()
-        x = m.to_numpy(dtype=float)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        return pd.DataFrame({block: g[block].iloc[0], "sample": m.index.to_numpy(), "cluster": average_linkage(1 - x @ x.T, threshold)})
+        g = g[g["sample"].notna()]
+        samples, i = np.unique(g["sample"].to_numpy(), return_inverse=True)
+        j, w = pd.factorize(g["token"])[0], g["w"].to_numpy()
+        order = np.argsort(j, kind="stable")
+        i, j, w = i[order], j[order], w[order]
+        dots, n = np.zeros((len(samples), len(samples))), 0 if len(j) == 0 else j[-1] + 1
+        for lo in range(0, n, TOKENS_AT_ONCE):
+            a, z = np.searchsorted(j, [lo, lo + TOKENS_AT_ONCE])
+            m = np.zeros((len(samples), min(TOKENS_AT_ONCE, n - lo)))
+            m[i[a:z], j[a:z] - lo] = w[a:z]
+            dots += m @ m.T
+        norm = np.maximum(np.sqrt(np.diag(dots)), 1e-12)
+        return pd.DataFrame({block: g[block].iloc[0] if len(g) else None, "sample": samples, "cluster": average_linkage(1 - dots / norm / norm[:, None], threshold)})
 
     kinds = dict(tokens.dtypes)
     return rows.groupBy(block).applyInPandas(one, f"`{block}` {kinds[block]}, sample {kinds['sample']}, cluster int")
