@@ -279,6 +279,23 @@ def test_op6_matches_brute_force(spark, odd_docs, odd_rows, no_docs):
     assert kept.columns == odd_docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted({x for x in least.values()})
 
 
+def test_deduplicate_keeps_one_row_a_component(spark):
+    """Null ids and shared ids with unrelated texts are components of their own; rows are told apart by text, not by id."""
+    rng = random.Random(12)
+    a, b, c, d, e, f = (prose(rng, words, 60) for words in (EN, DE, FR, ES, EN, DE))
+    rows = [(None, a, "en", "s", 1), (None, b, "de", "s", 1), (None, b, "de", "s", 1), (None, c, "fr", "s", 1), (5, c, "fr", "s", 1), (5, d, "es", "s", 1), (5, d, "es", "t", 1), (6, e, "en", "s", 1), (7, e.upper(), "en", "s", 1), (7, f, "de", "s", 1), (None, None, None, None, None), (None, "", None, None, 0)]
+    comp = brute_components([brute_fingerprint(t) for _, t, *_ in rows])
+    groups = collections.defaultdict(list)
+    for r in rows:
+        groups[comp[brute_fingerprint(r[1])]].append(r)
+    kept = [tuple(r) for r in simhash.deduplicate(spark.createDataFrame(rows, DOCS)).collect()]
+    assert all(r in rows for r in kept) and len(groups) == 7
+    assert collections.Counter(comp[brute_fingerprint(r[1])] for r in kept) == collections.Counter(groups.keys())
+    for r in kept:
+        ids = [x[0] for x in groups[comp[brute_fingerprint(r[1])]] if x[0] is not None]
+        assert r[0] == (min(ids) if ids else None)
+
+
 @pytest.mark.parametrize("cap", [2, 256])
 def test_long_lists_lose_no_link(spark, cap):
     """A dense clump, its chains and far values, with lists paired (256) or joined through neighbours (2)."""

@@ -24,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrowio import slices
@@ -65,14 +65,17 @@ def fingerprint(text: bytes | None) -> int:
     return int(np.packbits(2 * votes > len(start), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): fp is the fingerprint as a signed long; one row per input row."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
+    """(id, fp), and key where key_col names a string column: fp is the fingerprint as a signed long; one row per input row."""
+    names = ["id", "fp"] + ["key"] * (key_col is not None)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in slices(batches):
+        for ids, texts, *keys in slices(batches):
             fps = np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fps)], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fps), *[pa.array(k, pa.string()) for k in keys]], names=names)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "id long, fp long")
+    cols = [F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")] + ([F.col(key_col).alias("key")] if key_col else [])
+    return docs.select(*cols).mapInArrow(run, "id long, fp long" + ", key string" * (key_col is not None))
 
 
 def _as_bytes(fps: np.ndarray) -> np.ndarray:
@@ -177,6 +180,12 @@ def links(distinct_fps: DataFrame, cap: int = LIST_CAP) -> DataFrame:
     return found.where("not hot").select("a", "b").unionAll(stars)
 
 
+def _with_component(nodes: DataFrame, cap: int) -> DataFrame:
+    """nodes, a row a fingerprint, with component: one fingerprint that stands for all reachable ones."""
+    label = connected_components(links(nodes.select("fp"), cap))
+    return nodes.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cap: int = LIST_CAP) -> DataFrame:
     """(id, fp, component): one row per input row; component is the smallest id whose fingerprint is reachable.
 
@@ -187,27 +196,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ignored, whatever their names. An empty table gives an empty result.
     """
     rows = materialize(fingerprints(docs, id_col, text_col), "simhash-fps")
-    nodes = rows.groupBy("fp").agg(F.min("id").alias("least_id"))
-    label = connected_components(links(nodes.select("fp"), cap))
-    joined = materialize(nodes.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")), "simhash-nodes")
+    joined = materialize(_with_component(rows.groupBy("fp").agg(F.min("id").alias("least_id")), cap), "simhash-nodes")
     least = joined.groupBy("component").agg(F.min("least_id").alias("least"))
     named = joined.join(least, "component").select("fp", F.col("least").alias("component"))
     return rows.join(named, "fp").select("id", "fp", "component")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without near-duplicates: of each component the row of its smallest id stays.
+def _row_key(docs: DataFrame, text_col: str) -> Column:
+    """Hash of the text, then hash of the other columns: equal for equal rows only."""
+    rest = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]))
+    return F.concat(F.coalesce(F.sha2(F.col(text_col).cast("binary"), 256), F.lit("-")), F.sha2(rest, 256))
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cap: int = LIST_CAP) -> DataFrame:
+    """docs without near-duplicates: of each component one row stays, that of its smallest id.
 
-    Of repeated rows of one id the one with the smallest (text, other columns
-    as listed) stays. Rows whose id is null are in components like others and
-    stay only where no row of their component has an id (one row for all).
-    Columns are those of docs.
+    Of a component's rows with that id the one whose text has the smallest
+    hash stays, then that whose other columns have. Rows whose id is null are
+    in components like others and stay only where no row of their component
+    has an id (one row a component). Rows that share an id, or have none, are
+    not linked by that: each component keeps its own. Columns are those of docs.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    keep = found.select(F.col("component").alias("__keep")).distinct()
-    kept = docs.join(keep, F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi")
-    order = Window.partitionBy(id_col).orderBy(*[F.col(c) for c, kind in docs.dtypes if not kind.startswith("map")])
-    return kept.withColumn("__row", F.row_number().over(order)).where("__row = 1").select(*docs.columns)
+    keyed = docs.withColumn("__key", _row_key(docs, text_col))
+    rows = materialize(fingerprints(keyed, id_col, text_col, "__key"), "simhash-fps")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")
+    nodes = materialize(rows.groupBy("fp").agg(first), "simhash-nodes")
+    keep = _with_component(nodes, cap).groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.key").alias("__key"))
+    # rows of one key are equal, so that any of them will do
+    return keyed.join(keep, "__key", "left_semi").dropDuplicates(["__key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_simhash(docs: DataFrame) -> DataFrame:
