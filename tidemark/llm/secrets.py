@@ -147,7 +147,7 @@ def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """docs with secrets masked: every base match of its kind, then the texts of reported weak spans.
 
     Kinds are masked in the order assign, access, hex, each in the text as
-    masked so far; then each linked value wherever it stands in its document.
+    masked so far; then each linked value wherever it stands in its row's text.
     Texts without a secret stay as they are, null ones too; chars_col, where
     there is one, follows the text. Only documents with weak candidates are
     shuffled, and of them only ids and spans. Columns are those of docs.
@@ -163,9 +163,11 @@ def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = F.when(base.contains("AKIA"), F.regexp_replace(base, ACCESS, MASK)).otherwise(base)
     base = F.when(t.rlike(HEX), F.regexp_replace(base, HEX, MASK)).otherwise(base)
 
-    found = materialize(parts(docs, id_col, text_col).where(F.size("weak") > 0), "secret-weak")
+    # spans are positions in one text: rows that share an id, or have none, keep their own
+    keyed = docs.withColumn("__key", F.concat_ws(":", F.col(id_col).cast("string"), F.xxhash64(t).cast("string")))
+    found = materialize(parts(keyed, "__key", text_col).where(F.size("weak") > 0), "secret-weak")
     spans = linked_parts(found).select(F.col("doc_id").alias("__id"), "linked").groupBy("__id").agg(F.flatten(F.collect_list("linked")).alias("__linked"))
-    few = docs.join(spans, F.col(id_col).eqNullSafe(F.col("__id")), "left")
+    few = keyed.join(spans, F.col("__key") == F.col("__id"), "left")
     values = F.transform("__linked", lambda x: F.substring(t, (x["s"] + 1).cast("int"), (x["e"] - x["s"]).cast("int")))
     cleaned = F.when(F.col("__linked").isNotNull(), F.aggregate(F.filter(values, lambda v: F.length(v) > 2), base, lambda s, v: F.replace(s, v, F.lit(MASK)))).otherwise(base)
     out = few.withColumn("__text", cleaned)
