@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import numpy as np
 
-SAMPLE = 256
+#: Ones between select samples, and offsets whose low bits are packed at once (a multiple of 8).
+SAMPLE, AT_ONCE = 256, 1 << 14
 
 
 def encode(offsets: np.ndarray) -> dict:
@@ -20,8 +21,9 @@ def encode(offsets: np.ndarray) -> dict:
     places = (offsets >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
     upper = np.zeros((int(places[-1]) // 64 + 1) * 64, dtype=np.uint8)
     upper[places] = 1
-    low = (offsets[:, None] >> np.arange(low_bits, dtype=np.uint64)[None, :]).astype(np.uint8) & 1
-    return {"n": n, "low_bits": low_bits, "upper": np.packbits(upper, bitorder="little").view("<u8"), "low": np.packbits(low.reshape(-1), bitorder="little"), "samples": places[::SAMPLE].astype("<u4" if places[-1] < 2**32 else "<u8")}
+    shifts = np.arange(low_bits, dtype=np.uint64)[None, :]
+    low = [np.packbits(((offsets[i:i + AT_ONCE, None] >> shifts).astype(np.uint8) & 1).reshape(-1), bitorder="little") for i in range(0, n, AT_ONCE)]
+    return {"n": n, "low_bits": low_bits, "upper": np.packbits(upper, bitorder="little").view("<u8"), "low": np.concatenate(low), "samples": places[::SAMPLE].astype("<u4" if places[-1] < 2**32 else "<u8")}
 
 
 class Offsets:

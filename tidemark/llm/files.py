@@ -7,9 +7,12 @@ repeated task leaves no half file under the final name.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
 
 
 def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
@@ -35,3 +38,16 @@ def reading(uri: str):
     system, path = open_fs(uri)
     with system.open_input_file(path) as f:
         yield f
+
+
+def each_file(spark: SparkSession, items: list, run: Callable[[object], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What run yields for each item, one task an item, dealt by index; items are names and numbers of files."""
+    held = spark.sparkContext.broadcast(items)
+
+    def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                yield from run(held.value[i])
+
+    n = len(items)
+    return spark.range(0, n, 1, max(1, n)).mapInArrow(tasks, schema)

@@ -154,7 +154,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacit
         for ids, texts in slices(batches):
             rows = []
             for i, b in zip(ids, cache.ids(texts)):
-                b += end
+                b = (b if cache.width == 4 else np.frombuffer(b, dtype=cache.dtype).astype("<u4").tobytes()) + end
                 for k, at in enumerate(range(0, len(b), 4 * capacity)):
                     part = b[at:at + 4 * capacity]
                     rows.append((i, k, at // 4, len(part) // 4, zlib.crc32(part)))

@@ -1,7 +1,7 @@
 """Token ids of documents in files: one flat id array a part and Elias-Fano document boundaries.
 
-Part k has two files. ``part-k.ids``: ids one after another, unsigned 16-bit
-where the vocabulary allows, else 32-bit, little-endian. ``part-k.idx``: the
+A part has two files. ``part-k-j.ids``: ids one after another, unsigned 16-bit
+where the vocabulary allows, else 32-bit, little-endian. ``part-k-j.idx``: the
 bytes ``TDMKEF1\\n``, a JSON header with the sections' sizes, then doc ids
 (64-bit, with a null map), the coded boundaries' upper bits, low bits and
 select samples. Parts follow each other in ascending doc_id order; where a
@@ -22,11 +22,13 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.arrowio import slices
 from tidemark.llm.eliasfano import Offsets, encode
-from tidemark.llm.files import reading, writing
+from tidemark.llm.files import each_file, reading, writing
 from tidemark.llm.wordcache import shared
 from tidemark.storage import new_path
 
-MAGIC, AT_ONCE = b"TDMKEF1\n", 1024
+MAGIC, AT_ONCE, BLOCK_IDS = b"TDMKEF1\n", 1024, 1 << 22
+#: A part ends after so many documents or ids.
+MOST_DOCS, MOST_IDS = 1 << 18, 1 << 26
 
 
 def write_index(uri: str, ids: list[int | None], lengths: list[int], dtype: str) -> None:
@@ -56,37 +58,42 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str, id_c
     A null text is like an empty one: the end id alone. Null ids come first;
     rows of one id follow each other in the order of their texts' hashes, so
     even one id's rows may lie in several parts. Other columns are ignored. An
-    empty table writes no part. Texts are range-partitioned, never gathered;
-    in memory are one slice of texts and a part's document lengths.
+    empty table writes no part. Texts are range-partitioned, never gathered; a
+    task begins a new part after MOST_DOCS documents or MOST_IDS ids, so what
+    it holds, a slice of texts and a part's document lengths, is bounded.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k, cache, wide = TaskContext.get().partitionId(), shared(tokenizer), False
-        wide = max(cache.tokenizer.get_vocab_size(), end_id + 1) > 1 << 16
+        k, cache = TaskContext.get().partitionId(), shared(tokenizer)
+        wide = cache.width == 4 or end_id >> 16 > 0
         dtype, end = ("<u4", end_id.to_bytes(4, "little")) if wide else ("<u2", end_id.to_bytes(2, "little"))
-        base, ids, lengths, batch = f"{folder}/part-{k:06d}", [], [], next(batches, None)
-        while batch is not None and not batch.num_rows:
-            batch = next(batches, None)
-        if batch is None:
-            return
-
-        def rest():
-            yield batch
-            yield from batches
-
-        with writing(f"{base}.ids") as out:
-            for got, texts in slices(rest()):
+        item, made = len(end), []
+
+        def encoded():
+            for got, texts in slices(batches):
                 for i, b in zip(got, cache.ids(texts)):
-                    out.write(b if wide else np.frombuffer(b, dtype="<u4").astype("<u2").tobytes())
+                    yield i, b if cache.width == item else np.frombuffer(b, dtype=cache.dtype).astype(dtype).tobytes()
+
+        rows = encoded()
+        row = next(rows, None)
+        while row is not None:
+            base, ids, lengths, total = f"{folder}/part-{k:06d}-{len(made):04d}", [], [], 0
+            with writing(f"{base}.ids") as out:
+                while row is not None and len(ids) < MOST_DOCS and total < MOST_IDS:
+                    out.write(row[1])
                     out.write(end)
-                    ids.append(i)
-                    lengths.append(len(b) // 4 + 1)
-        write_index(f"{base}.idx", ids, lengths, dtype)
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([base]), pa.array([len(ids)], pa.int64()), pa.array([sum(lengths)], pa.int64())], names=["part", "path", "n_docs", "n_tokens"])
+                    ids.append(row[0])
+                    lengths.append(len(row[1]) // item + 1)
+                    total += lengths[-1]
+                    row = next(rows, None)
+            write_index(f"{base}.idx", ids, lengths, dtype)
+            made.append((base, len(ids), total))
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), (pa.string(), pa.int64(), pa.int64()))], names=["path", "n_docs", "n_tokens"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     order = ["id", F.xxhash64("text")]
     spread = rows.repartitionByRange(partitions, *order) if partitions else rows.repartitionByRange(*order)
-    parts = spread.sortWithinPartitions(*order).mapInArrow(run, "part int, path string, n_docs long, n_tokens long").collect()
+    parts = spread.sortWithinPartitions(*order).mapInArrow(run, "path string, n_docs long, n_tokens long").collect()
     out, base = [], 0
     for p in sorted(parts):
         out.append(p.asDict() | {"base": base})
@@ -95,26 +102,38 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str, id_c
 
 
 def read_tokens(spark, parts: list[dict]) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of each document, from the files; one task a part."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                head, part, offsets = read_index(f"{path}.idx")
-                null = np.unpackbits(part["null"], bitorder="little").astype(bool)
-                item = np.dtype(head["dtype"]).itemsize
-                with reading(f"{path}.ids") as f:
-                    for i in range(0, head["n_docs"], AT_ONCE):
-                        n = min(AT_ONCE, head["n_docs"] - i)
-                        at = offsets.get(i, n + 1).tolist()
-                        crc = []
-                        for a, z in zip(at, at[1:]):
-                            f.seek(a * item)
-                            crc.append(zlib.crc32(np.frombuffer(f.read((z - a) * item), dtype=head["dtype"]).astype("<u4").tobytes()))
-                        at = np.array(at)
-                        yield pa.RecordBatch.from_arrays([pa.array(part["doc_ids"][i:i + n], mask=null[i:i + n]), pa.array(at[:-1] + base), pa.array(at[1:] - at[:-1]), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    listed = spark.createDataFrame([(p["path"], p["base"]) for p in parts], "path string, base long")
-    return listed.repartition(max(1, len(parts)), "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    """(doc_id, start, n_tokens, ids_crc32) of each document, from the files; one task a part.
+
+    Ids are read and widened a block of documents at once; a block of more
+    than BLOCK_IDS ids is read document by document, in pieces.
+    """
+    def run(part: dict) -> Iterator[pa.RecordBatch]:
+        path, base = part["path"], part["base"]
+        head, held, offsets = read_index(f"{path}.idx")
+        null = np.unpackbits(held["null"], bitorder="little").astype(bool)
+        kind = np.dtype(head["dtype"])
+        with reading(f"{path}.ids") as f:
+            def wide(n: int) -> bytes:
+                b = f.read(n * kind.itemsize)
+                return b if kind.itemsize == 4 else np.frombuffer(b, dtype=kind).astype("<u4").tobytes()
+
+            for i in range(0, head["n_docs"], AT_ONCE):
+                n = min(AT_ONCE, head["n_docs"] - i)
+                at = offsets.get(i, n + 1)
+                f.seek(int(at[0]) * kind.itemsize)
+                places, crc = at.tolist(), []
+                if places[-1] - places[0] <= BLOCK_IDS:
+                    block = memoryview(wide(places[-1] - places[0]))
+                    crc = [zlib.crc32(block[4 * (a - places[0]):4 * (z - places[0])]) for a, z in zip(places, places[1:])]
+                else:
+                    for a, z in zip(places, places[1:]):
+                        c = 0
+                        for k in range(a, z, BLOCK_IDS):
+                            c = zlib.crc32(wide(min(BLOCK_IDS, z - k)), c)
+                        crc.append(c)
+                yield pa.RecordBatch.from_arrays([pa.array(held["doc_ids"][i:i + n], mask=null[i:i + n]), pa.array(at[:-1] + base), pa.array(at[1:] - at[:-1]), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    return each_file(spark, parts, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op7_token_store(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:

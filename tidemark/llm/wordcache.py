@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import json
 import re
-from array import array
 from collections.abc import Iterable
 from functools import lru_cache
 
@@ -21,8 +20,8 @@ import public_tokenizers
 import regex
 from tokenizers import Tokenizer
 
-#: Parts remembered in all: about 80 MB. Half of them are those met last, the other half older ones.
-MOST = 300_000
+#: Words remembered in all, about 80 MB: a third of them for good, and two generations of the others.
+MOST = 600_000
 PART = re.compile(r"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
 #: What no part can be cut by: white space other than ASCII's, controls, marks after white space.
 ODD_SET = "\x00-\x08\x0e-\x1f\x7f-\xa0 ᠎ -‏ -  -⁯　﻿"
@@ -30,6 +29,7 @@ ODD = re.compile(f"[{ODD_SET}]|[ \t\n\r\x0b\x0c][̀-ͯ᪰-᫿᷀-᷿⃐-⃿︠-
 #: Texts without a match, and without two of space and newline in a row or one at the end, have one between words.
 MIXED = re.compile(f"[{ODD_SET}\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f\t\r\x0b\x0c]")
 #: Parts of which lower case and piece rules are the same in every library.
+CLOSING = frozenset(".,;:!?")
 PLAIN = re.compile("[\n\x20-\x7e\xa1-\xac\xae-įı-ɏ]*")
 
 
@@ -42,16 +42,47 @@ def byte_letters() -> dict[int, str]:
     return out
 
 
+class _Known(dict):
+    """Parts and their ids; one that is missing is taken from the generation before, or else learned.
+
+    Parts met in two generations are kept for good, up to ``often`` of them;
+    the others go with the second generation after theirs.
+    """
+
+    def __init__(self, learn, often: int):
+        self.learn, self.often, self.before, self.kept = learn, often, {}, {}
+
+    def __missing__(self, part: str) -> bytes:
+        found = self.before.get(part)
+        if found is None:
+            found = self.learn(part)
+        elif len(self.kept) < self.often:
+            self.kept[part] = found
+        self[part] = found
+        return found
+
+    def turn(self, most: int) -> None:
+        """Begin a new generation if this one has met most parts of its own."""
+        if len(self) - len(self.kept) > most:
+            self.before = dict(self)
+            self.clear()
+            self.update(self.kept)
+
+
 class WordCache:
-    """ids(texts) gives the ids of each text as little-endian unsigned 32-bit bytes; null is like empty."""
+    """ids(texts) gives the ids of each text as little-endian unsigned integers of ``width`` bytes; null is like empty.
+
+    Ids are those of the library's defaults: where a text holds the content of
+    a special token, that is its id, and the text is cut there.
+    """
 
     def __init__(self, path: str, most: int = MOST):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
         self.most = most
+        n = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.width = 2 if n <= 1 << 16 else 4
+        self.dtype = f"<u{self.width}"
+        self.packed = [i.to_bytes(self.width, "little") for i in range(n)]
         with open(path) as f:
             rules = json.load(f)
         pre = rules["pre_tokenizer"]
@@ -61,81 +92,68 @@ class WordCache:
             self.pieces = regex.compile(public_tokenizers.PATTERN).findall
         elif kind == ["Split", "ByteLevel"] and rules["normalizer"]:
             self.pieces = regex.compile(pre["pretokenizers"][0]["pattern"]["Regex"]).findall
-        self.model, self.letters = self.tokenizer.model, byte_letters()
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
-
-    def _learn(self, parts: list[str]) -> list[bytes]:
-        """Ids of parts: plain ones piece by piece through the library's model, others through its whole chain."""
-        if self.pieces is None:
-            return self._encode(parts)
-        tokenize, pieces, letters, plain, lower, out, rest = self.model.tokenize, self.pieces, self.letters, PLAIN.fullmatch, self.lower, [], []
-        for i, part in enumerate(parts):
-            ascii = part.isascii()
-            if not ascii and not plain(part):
-                rest.append(i)
-                out.append(b"")
-                continue
-            word, end = (part[1:], "") if part[:1] == " " else (part, "")
-            if word[-1:] in ".,;:!?" and len(word) > 1:
-                word, end = word[:-1], word[-1]
-            if lower:
-                part = part.lower()
-            if word.isalpha():  # one piece, and one of its closing mark
-                some = [word.lower() if lower else part[: len(part) - len(end)]]
-                if end:
-                    some.append(end)
-            else:
-                some = pieces(part)
-            ids = array("I")
-            for p in some:
-                if not p.isascii() or not p.isprintable():
-                    p = p.encode().decode("latin-1").translate(letters)
-                elif p[0] == " ":
-                    p = p.replace(" ", "\u0120")
-                ids.extend([t.id for t in tokenize(p)])
-            out.append(ids.tobytes())
-        if rest:
-            for i, b in zip(rest, self._encode([parts[i] for i in rest])):
-                out[i] = b
-        return out
-
-    def _more(self, new: list[str], of: dict[str, bytes], before: str) -> None:
-        of.update(zip(new, self._learn([x if x[:1] == "\n" else before + x for x in new])))
+        self.tokenize, self.letters = self.tokenizer.model.tokenize, byte_letters()
+        added = rules["added_tokens"]
+        #: Special tokens that are found in the raw text as they stand; with others, texts are encoded whole.
+        self.special = {x["content"]: self.packed[x["id"]] for x in added}
+        self.plain = not any(x["normalized"] or x["lstrip"] or x["rstrip"] or x["single_word"] for x in added)
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if added else None
+        #: Words after a space, without it, and parts taken as they stand.
+        self.words, self.parts = _Known(self._word, most // 3), _Known(self._part, most // 12)
+
+    def _encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype).tobytes()
+
+    def _pieces(self, pieces: list[str]) -> bytes:
+        """Ids of pieces through the library's model, spaces and other bytes in the byte-level alphabet."""
+        out = []
+        for p in pieces:
+            if not p.isascii() or not p.isprintable():
+                p = p.encode().decode("latin-1").translate(self.letters)
+            elif p[0] == " ":
+                p = p.replace(" ", "\u0120")
+            out += [self.packed[t.id] for t in self.tokenize(p)]
+        return b"".join(out)
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word after a space; a line's first word begins with the newline instead."""
+        if word.isascii() and self.pieces:
+            if self.lower:
+                word = word.lower()
+            if word.isalpha():
+                return b"".join([self.packed[t.id] for t in self.tokenize(word if self.lower else "\u0120" + word)])
+            if word[-1:] in CLOSING and word[:-1].isalpha():  # one piece, and one of its closing mark
+                return b"".join([self.packed[t.id] for p in (word[:-1] if self.lower else "\u0120" + word[:-1], word[-1]) for t in self.tokenize(p)])
+        return self._part(word if word[:1] == "\n" else " " + word)
+
+    def _part(self, part: str) -> bytes:
+        if self.pieces is None or not (part.isascii() or PLAIN.fullmatch(part)):
+            return self._encode(part)
+        return self._pieces(self.pieces(part.lower() if self.lower else part))
+
+    def _text(self, text: str) -> bytes:
+        """Ids of a text without special tokens."""
+        if not text:
+            return b""
+        self.words.turn(self.most // 3)
+        self.parts.turn(self.most // 12)
+        if not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[-1] in " \n" or MIXED.search(text)):
+            head, *parts = text.replace("\n", " \n").split(" ")
+            return self.parts[head] + b"".join(map(self.words.__getitem__, parts))
+        if ODD.search(text):
+            return self._encode(text)
+        return b"".join(map(self.parts.__getitem__, PART.findall(text)))
 
     def ids(self, texts: Iterable[str | None]) -> list[bytes]:
-        out, known, first = [], self.known, self.first
+        out = []
         for text in texts:
-            if not text:
-                out.append(b"")
-            elif not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[-1] in " \n" or MIXED.search(text)):
-                head, *parts = text.replace("\n", " \n").split(" ")
-                if head not in first:
-                    if 4 * len(first) > self.most:
-                        first.clear()
-                    self._more([head], first, "")
-                try:
-                    got = b"".join(map(known.__getitem__, parts))
-                except KeyError:
-                    if 2 * len(known) > self.most:
-                        self.old, self.known = known, {}
-                        known = self.known
-                    new, old = {x for x in parts if x not in known}, self.old
-                    if old:
-                        known.update((x, old[x]) for x in new if x in old)
-                    self._more([x for x in new if x not in known], known, " ")
-                    got = b"".join(map(known.__getitem__, parts))
-                out.append(first[head] + got)
-            elif ODD.search(text):
-                out += self._encode([text])
+            text = text or ""
+            if not self.plain:
+                out.append(self._encode(text))
+            elif any(x in text for x in self.special):
+                out.append(b"".join(self.special[x] if k % 2 else self._text(x) for k, x in enumerate(self.cut.split(text))))
             else:
-                parts = PART.findall(text)
-                if 4 * len(first) > self.most:
-                    first.clear()
-                self._more([x for x in set(parts) if x not in first], first, "")
-                out.append(b"".join(map(first.__getitem__, parts)))
+                out.append(self._text(text))
         return out
 
 
