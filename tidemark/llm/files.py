@@ -40,8 +40,8 @@ def reading(uri: str):
         yield f
 
 
-def each_file(spark: SparkSession, items: list, run: Callable[[object], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """What run yields for each item, one task an item, dealt by index; items are names and numbers of files."""
+def each_item(spark: SparkSession, items: list, run: Callable[[object], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What run yields for each item, one task an item, dealt by index; items are small, as names of files."""
     held = spark.sparkContext.broadcast(items)
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,8 +2,8 @@
 
 Features are hashed byte 1- to 3-grams of the lower-cased text: shares of each
 gram under square root, of unit length. The machines are trained by dual
-coordinate descent on a bounded sample of labelled rows; predictions read
-whole texts.
+coordinate descent on a bounded sample of labelled rows, each machine in a task
+of its own; predictions read whole texts.
 """
 
 from __future__ import annotations
@@ -18,8 +18,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrowio import slices
-
-WIDTH, SAMPLE_PER_LANG, MOST_LANGS, EPOCHS, COST = 4096, 500, 200, 12, 4.0
+from tidemark.llm.files import each_item
+
+WIDTH, EPOCHS, COST = 4096, 12, 4.0
+#: The sample: rows of a language, rows in all (their vectors are 16 KB each on the driver), languages. With many
+#: languages each has fewer rows, MOST_ROWS / MOST_LANGS at least; beyond MOST_LANGS the rarest labels do not teach.
+SAMPLE_PER_LANG, MOST_ROWS, MOST_LANGS = 500, 4000, 1000
+#: Texts whose score is lower fit no learned language; clean prose scores about 0.5 and more.
+MIN_SCORE = 0.2
 UNKNOWN = "und"
 #: Families of closely related languages by ISO 639-1 code; a language in none of them is a family of its own.
 FAMILIES = {
@@ -77,38 +83,39 @@ def train_svm(x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, cost: float =
 
 
 class Model:
-    """Family machines (one against the rest) and, in each family, a machine for each pair of languages."""
-
-    def __init__(self, langs: list[str], x: np.ndarray):
-        bias = np.ones((len(x), x.shape[1] + 1), dtype=np.float32)
-        bias[:, :-1] = x
-        self.langs = sorted(set(langs))
-        self.families = sorted({family(c) for c in self.langs})
-        fams, labels = np.array([family(c) for c in langs]), np.array(langs)
-        rows = [train_svm(bias, np.where(fams == f, 1, -1)) for f in self.families] if len(self.families) > 1 else []
-        self.members = {f: [c for c in self.langs if family(c) == f] for f in self.families}
-        self.pairs = [(a, b) for f in self.families for a, b in combinations(self.members[f], 2)]
-        for a, b in self.pairs:
-            some = np.isin(labels, (a, b))
-            rows.append(train_svm(bias[some], np.where(labels[some] == a, 1, -1)))
-        self.weights = np.array(rows, dtype=np.float32).reshape(len(rows), WIDTH + 1)
+    """Family machines (one against the rest) and, in each family, a machine for each pair of languages.
+
+    weights: a row a machine, the bias last, in the order of machines().
+    """
+
+    def __init__(self, langs: set[str], weights: np.ndarray):
+        self.langs, self.weights = sorted(langs), weights
+        self.families, self.members, self.pairs = _levels(self.langs)
+        first = len(self.families) if len(self.families) > 1 else 0
+        self.places: dict[str, list[tuple[int, str, str]]] = defaultdict(list)
+        for k, (a, b) in enumerate(self.pairs):
+            self.places[family(a)].append((first + k, a, b))
+        self.first = first
 
     def predict(self, x: np.ndarray) -> list[tuple[str, float]]:
-        """(language, score) of each row of features; the score is the family's times the vote's confidence, 0 to 1."""
+        """(language, score) of each row of features; the score is the family's times the vote's confidence, 0 to 1.
+
+        Ties: the family first by name, then the language of most votes, then
+        of most trust, then last by name.
+        """
         margins = x @ self.weights[:, :-1].T + self.weights[:, -1] if len(self.weights) else np.zeros((len(x), 0))
         sure = 1 / (1 + np.exp(-np.clip(4 * margins, -30, 30)))
-        first = len(self.families) if len(self.families) > 1 else 0
         out = []
         for row in sure:
-            k = int(np.argmax(row[:first])) if first else 0
-            name, score = self.families[k], float(row[k]) if first else 1.0
+            k = int(np.argmax(row[:self.first])) if self.first else 0
+            name, score = self.families[k], float(row[k]) if self.first else 1.0
             if len(self.members[name]) > 1:
                 votes, trust = defaultdict(int), defaultdict(float)
-                for (a, b), p in zip(self.pairs, row[first:].tolist()):
-                    if a in self.members[name] and b in self.members[name]:
-                        votes[a if p >= 0.5 else b] += 1
-                        trust[a] += p
-                        trust[b] += 1 - p
+                for i, a, b in self.places[name]:
+                    p = float(row[i])
+                    votes[a if p >= 0.5 else b] += 1
+                    trust[a] += p
+                    trust[b] += 1 - p
                 best = max(self.members[name], key=lambda c: (votes[c], trust[c], c))
                 out.append((best, score * trust[best] / (len(self.members[name]) - 1)))
             else:
@@ -116,44 +123,86 @@ class Model:
         return out
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = SAMPLE_PER_LANG) -> Model | None:
-    """Train on per_lang rows of each language at most: those with the smallest hashes of their ids.
+def _levels(langs: list[str]) -> tuple[list[str], dict[str, list[str]], list[tuple[str, str]]]:
+    """(families, members of each, pairs to tell apart) of sorted languages."""
+    families = sorted({family(c) for c in langs})
+    members = {f: [c for c in langs if family(c) == f] for f in families}
+    return families, members, [(a, b) for f in families for a, b in combinations(members[f], 2)]
+
+
+def machines(langs: list[str]) -> list[tuple[str, ...]]:
+    """What is trained: (family,) against the rest where there are two or more, then (language, language)."""
+    families, _, pairs = _levels(langs)
+    return [(f,) for f in families if len(families) > 1] + pairs
+
 
-    Only rows with a label and a letter teach. The sample is bounded by
-    per_lang * MOST_LANGS rows; more labels than that is an error. Labels are
-    counted first, then the sample's texts are read; what reaches the driver
-    is a vector of WIDTH numbers for each sampled row. None if no row teaches.
+def train(x: np.ndarray, labels: np.ndarray, machine: tuple[str, ...]) -> np.ndarray:
+    """Weights of one machine, bias last, from rows of features and their languages."""
+    if len(machine) == 1:
+        some, y = slice(None), np.where(np.array([family(c) for c in labels]) == machine[0], 1, -1)
+    else:
+        some = np.isin(labels, machine)
+        y = np.where(labels[some] == machine[0], 1, -1)
+    own = x[some]
+    return train_svm(np.concatenate([own, np.ones((len(own), 1), dtype=own.dtype)], axis=1), y).astype(np.float32)
+
+
+def sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int) -> DataFrame:
+    """(lang, h, text): the rows that teach. Only rows with a label and a letter are counted and taken, equal ones once.
+
+    Of each language those with the smallest hashes of id and text. What is
+    read of a language is about twice its sample, by hash, so neither a hot
+    language nor a hot id is gathered.
     """
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    counts = labelled.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).count().limit(MOST_LANGS + 1).collect()
-    if not counts:
-        return None
-    if len(counts) > MOST_LANGS:
-        raise ValueError(f"more than {MOST_LANGS} languages")
-    # about twice the sample is read, by hash, and the smallest hashes of that are taken
-    place = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit(11)), 12) / F.lit(2.0**52)
-    within = F.lit(False)
-    for r in counts:
-        within = within | ((F.col(lang_col) == r.lang) & (place < min(1.0, 2 * per_lang / r["count"])))
+    spark = labelled.sparkSession
+    rows = labelled.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.col(text_col), F.lit(11)).alias("h"), F.col(text_col).alias("text")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    counts = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MOST_LANGS).collect()
+    each = min(per_lang, MOST_ROWS // max(1, len(counts)))
+    shares = spark.createDataFrame([(r.lang, min(1.0, 2 * each / r["count"])) for r in counts], "l string, share double")  # MOST_LANGS rows at most
+    place = F.shiftrightunsigned("h", 12) / F.lit(2.0**52)
+    some = rows.join(F.broadcast(shares), (F.col("lang") == F.col("l")) & (place < F.col("share"))).drop("l", "share")
+    few = some.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= each)
+    return few.dropDuplicates(["lang", "h"]).drop("k")
+
 
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = SAMPLE_PER_LANG) -> Model | None:
+    """Train on a bounded sample of labelled rows; None if no row teaches.
+
+    What reaches the driver is a vector of WIDTH numbers for each sampled row,
+    MOST_ROWS at most; machines are trained by tasks and come back as a vector
+    each. Any labels will do: a language with one row teaches too.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for langs, hashes, texts in slices(batches):
             got = [(c, h, v.astype("<f4").tobytes()) for c, h, t in zip(langs, hashes, texts) if (v := features(t)) is not None]
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), (pa.string(), pa.int64(), pa.binary()))], names=["lang", "h", "v"])
 
-    sample = rows.where(within).select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.lit(11)).alias("h"), F.col(text_col).alias("text"))
-    taught = sample.mapInArrow(run, "lang string, h long, v binary")
-    taught = taught.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "v"))).where(F.col("k") <= per_lang).drop("k").toArrow()
+    spark = labelled.sparkSession
+    taught = sample(labelled, id_col, text_col, lang_col, per_lang).mapInArrow(run, "lang string, h long, v binary").toArrow()
     if not taught.num_rows:
         return None
-    langs = taught["lang"].to_pylist()
-    order = np.lexsort((taught["h"].to_numpy(), np.array(langs)))
+    langs = np.array(taught["lang"].to_pylist(), dtype=object)
+    order = np.lexsort((taught["h"].to_numpy(), langs))
     x = np.empty((len(langs), WIDTH), dtype=np.float32)
     for k, i in enumerate(order.tolist()):
         x[k] = np.frombuffer(taught["v"][i].as_buffer(), dtype="<f4")
     del taught
-    return Model([langs[i] for i in order], x)
+    langs = langs[order].astype(str)
+    known = sorted(set(langs.tolist()))
+    todo = machines(known)
+    held = spark.sparkContext.broadcast((x, langs))
+
+    def learn(item: tuple[int, tuple[str, ...]]) -> Iterator[pa.RecordBatch]:
+        w = train(*held.value, item[1])
+        yield pa.RecordBatch.from_arrays([pa.array([item[0]], pa.int32()), pa.array([w.tobytes()], pa.binary())], names=["k", "w"])
+
+    weights = np.zeros((len(todo), WIDTH + 1), dtype=np.float32)
+    if todo:
+        for r in each_item(spark, list(enumerate(todo)), learn, "k int, w binary").collect():
+            weights[r.k] = np.frombuffer(r.w, dtype=np.float32)
+    held.destroy()
+    return Model(set(known), weights)
 
 
 def held_out(id_col: str = "doc_id"):
@@ -189,24 +238,30 @@ def op4_language_id(docs: DataFrame) -> DataFrame:
     return identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those that no language can be told of: null texts and texts without a letter.
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = MIN_SCORE) -> DataFrame:
+    """docs without those that fit no learned language: ``und``, or a score below ``least``.
 
-    Decided in the scan of docs, so no text is shuffled. Columns are those of docs.
+    Null texts and texts without a letter always go. Where no row is labelled
+    nothing can be learned, and every text with a letter stays. Null ids and
+    repeated rows are decided like others, an empty table gives an empty
+    result, clashing columns stay. Decided in the scan of docs, so no text is
+    shuffled. Columns are those of docs.
     """
-    model = fit(docs.where(~held_out(id_col)), id_col, text_col)
+    model = fit(docs.where(~held_out(id_col)), id_col, text_col, lang_col)
+    if model is None:
+        return docs.where(F.col(text_col).rlike(r"\p{L}"))
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("string")
-    def predicted(texts):
+    @F.pandas_udf("double")
+    def score(texts):
         import pandas as pd
 
         m, out = held.value, []
         for i in range(0, len(texts), 256):
-            vectors = [features(t) if m and isinstance(t, str) else None for t in texts.iloc[i:i + 256]]
+            vectors = [features(t) if isinstance(t, str) else None for t in texts.iloc[i:i + 256]]
             some = [v for v in vectors if v is not None]
             found = iter(m.predict(np.array(some)) if some else [])
-            out += [next(found)[0] if v is not None else UNKNOWN for v in vectors]
-        return pd.Series(out, dtype=object)
+            out += [next(found)[1] if v is not None else -1.0 for v in vectors]
+        return pd.Series(out, dtype="float64")
 
-    return docs.where(predicted(F.col(text_col)) != UNKNOWN)
+    return docs.where(score(F.col(text_col)) >= least)

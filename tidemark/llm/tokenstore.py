@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.arrowio import slices
 from tidemark.llm.eliasfano import Offsets, encode
-from tidemark.llm.files import each_file, reading, writing
+from tidemark.llm.files import each_item, reading, writing
 from tidemark.llm.wordcache import shared
 from tidemark.storage import new_path
 
@@ -133,7 +133,7 @@ def read_tokens(spark, parts: list[dict]) -> DataFrame:
                         crc.append(c)
                 yield pa.RecordBatch.from_arrays([pa.array(held["doc_ids"][i:i + n], mask=null[i:i + n]), pa.array(at[:-1] + base), pa.array(at[1:] - at[:-1]), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return each_file(spark, parts, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return each_item(spark, parts, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op7_token_store(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
