@@ -31,25 +31,39 @@ def n_words(text: Column) -> Column:
 def source_targets(sizes: DataFrame, share: float = SHARE, weights=WEIGHTS, tilts=TILTS, repeats: int = MOST_REPEATS) -> DataFrame:
     """(source, source_size, weight, tilt, target) from rows (source, size).
 
-    Sources by code point with null last get the weights in turn. Targets fill
-    like water: the level is shared by weight among the sources below
-    ``repeats`` times their size. The windows here are over one row a source,
-    after the sum.
+    Sources by code point with null last get the weights in turn: they are
+    range-sorted, numbered within their partition, and the partitions' sizes,
+    which reach the driver, are added. Targets fill like water: the level is
+    shared by weight among the sources below ``repeats`` times their size, and
+    falls to sums over all sources, one aggregation a round, until no further
+    source is above its limit.
     """
+    spark = sizes.sparkSession
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    turn = (F.row_number().over(by_name) - 1) % len(weights)
-    per = per.withColumn("turn", turn)
-    per = per.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), F.col("turn") + 1)).withColumn("tilt", F.element_at(F.array(*map(F.lit, tilts)), F.col("turn") % len(tilts) + 1)).withColumn("cap", F.lit(repeats) * F.col("source_size"))
-    rise = Window.orderBy((F.col("cap") / F.col("weight")), F.col("source").asc_nulls_last())
-    before = rise.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    per = (per.withColumn("full", F.coalesce(F.sum("cap").over(before), F.lit(0)))
-           .withColumn("left", F.sum("weight").over(rise.rowsBetween(0, Window.unboundedFollowing)))
-           .withColumn("level", (F.lit(share) * F.sum("source_size").over(whole) - F.col("full")) / F.col("left")))
-    # the first source in this order that its level leaves below its cap fixes the level of all after it
-    level = F.min_by("level", F.when(F.col("cap") / F.col("weight") > F.col("level"), F.struct(F.col("cap") / F.col("weight"), F.col("source").isNull(), "source"))).over(whole)
-    return per.withColumn("fixed", level).select("source", "source_size", "weight", "tilt", F.coalesce(F.least(F.col("cap").cast("double"), F.col("fixed") * F.col("weight")), F.col("cap").cast("double")).alias("target"))
+    sorted_ = per.repartitionByRange(F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last())
+    per = materialize(sorted_.withColumn("place", F.monotonically_increasing_id()), "mix-sources")
+    ahead, n = [], 0
+    for r in sorted(per.groupBy(F.shiftright("place", 33).alias("part")).count().collect()):
+        ahead.append((r.part, n))
+        n += r["count"]
+    firsts = spark.createDataFrame(ahead, "part long, first long")  # one row a partition
+    per = per.withColumn("part", F.shiftright("place", 33)).join(F.broadcast(firsts), "part")
+    turn = F.pmod(F.col("first") + F.col("place") - F.shiftleft("part", 33), F.lit(len(weights))).cast("int")
+    per = (per.withColumn("turn", turn).withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), F.col("turn") + 1))
+           .withColumn("tilt", F.element_at(F.array(*map(F.lit, tilts)), F.col("turn") % len(tilts) + 1)).withColumn("cap", F.lit(repeats) * F.col("source_size"))
+           .select("source", "source_size", "weight", "tilt", "cap"))
+    per = materialize(per, "mix-weights")
+    total = per.agg(F.sum("source_size").alias("n")).first().n or 0
+    ratio, level, before = F.col("cap") / F.col("weight"), None, -1
+    while True:
+        under = F.lit(False) if level is None else ratio <= F.lit(level)
+        got = per.agg(F.sum(F.when(under, F.col("cap"))).alias("full"), F.sum(F.when(~under, F.col("weight"))).alias("left"), F.count(F.when(under, 1)).alias("n")).first()
+        if got.n == before or not got.left:
+            break
+        before, level = got.n, (share * total - (got.full or 0)) / got.left
+    fixed = F.lit(None).cast("double") if level is None or not got.left else F.lit(level)
+    target = F.coalesce(F.least(F.col("cap").cast("double"), fixed * F.col("weight")), F.col("cap").cast("double"))
+    return per.select("source", "source_size", "weight", "tilt", target.alias("target"))
 
 
 def position(offset: Column, target: Column, tilt: Column) -> Column:
@@ -101,8 +115,8 @@ def schedule(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     return placed.select(
         "doc_id", "source", "size", "source_size", "target",
         (overlap(F.col("at")) + overlap(again)).cast("long").alias("taken"),
-        when(F.col("at")).alias("first_position"), when(again).alias("second_position"),
-    ).orderBy(F.col("first_position").asc_nulls_last())
+        when(F.col("at")).alias("first_position"), when(again).alias("second_position"), "digest",
+    ).orderBy(F.col("first_position").asc_nulls_last(), "digest", "size").drop("digest")  # rows that are not reached are dealt out by digest
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:

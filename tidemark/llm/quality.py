@@ -17,6 +17,8 @@ WINDOW = 8
 #: Character classes that patterns take out of a text; what is left is the class of all others.
 CLASSES = {"lower": "a-z", "upper": "A-Z", "digit": "0-9", "space": r"\x20\x09-\x0D", "stop": r".,;:!?'\"()\-", "mark": r"#*$%&|<>@~\^_=+/\\{}\[\]`"}
 COMMON_WORDS, COMMON_LETTERS = 40, 5
+#: Labels with a reference of their own.
+MOST_REFERENCES = 128
 MIN_CHARS, MIN_WORDS = 120, 60
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.32, 0.8
 
@@ -80,32 +82,45 @@ def _jsd_rest(p: Column, q: Column) -> Column:
     return p * F.log2(2 * p / (p + q)) + F.when(q > 0, q * F.log2(2 * q / (p + q))).otherwise(0.0) - q
 
 
-def distances(items: Column, total: Column, refs: Column, n_refs: int) -> Column:
-    """Least Jensen-Shannon distance from a histogram to n_refs references.
+def distances(items: Column, total: Column, refs: Column) -> Column:
+    """Least Jensen-Shannon distance from a histogram to the references, 1 if there is none.
 
     items: array of (count, shares in each reference) for the bins with counts;
-    total: their sum. A reference whose shares sum to 0 counts as 1 away.
+    total: their sum; refs: the sum of each reference's shares, 0 or 1. A
+    reference whose shares sum to 0 counts as 1 away.
     """
-    def one(k: int) -> Column:
-        rest = F.aggregate(items, F.lit(0.0), lambda s, x: s + _jsd_rest(x["c"] / total, F.get(x["q"], F.lit(k))))
-        return F.sqrt(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (rest + F.get(refs, F.lit(k))) / 2)))
+    def least(bound: Column) -> Column:
+        def one(sum_: Column, k: Column) -> Column:
+            rest = F.aggregate(bound["items"], F.lit(0.0), lambda s, x: s + _jsd_rest(x["c"] / bound["total"], F.get(x["q"], k)))
+            return F.sqrt(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (rest + sum_) / 2)))
 
-    return F.least(*[one(k) for k in range(n_refs)], F.lit(1.0))
+        return F.array_min(F.transform(refs, one))
+
+    # items and total are bound once, not for each reference
+    return F.coalesce(F.least(_let(F.struct(items.alias("items"), total.alias("total")), least), F.lit(1.0)), F.lit(1.0))
 
 
 def _short_words(text: Column) -> Column:
     return F.filter(F.transform(words_of(text), F.lower), lambda w: (F.octet_length(w) <= 2 * COMMON_LETTERS) & (F.length(w) <= COMMON_LETTERS) & w.rlike(r"^\p{L}+$"))
 
 
+def language(docs: DataFrame, lang_col: str = "lang") -> Column:
+    """The label a document counts under: its own if it is one of the MOST_REFERENCES labels of most documents, else null."""
+    top = docs.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.col("count").desc(), "lang").limit(MOST_REFERENCES + 1).collect()
+    if len(top) <= MOST_REFERENCES:
+        return F.col(lang_col)
+    return F.when(F.col(lang_col).isin([r.lang for r in top[:MOST_REFERENCES]]), F.col(lang_col))
+
+
 def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> list[dict]:
     """For each language its class shares and its COMMON_WORDS most frequent words of up to COMMON_LETTERS letters with shares.
 
-    Counted over all documents; a language is a value of the lang column,
-    null among them. What reaches the driver is one row a language and
-    COMMON_WORDS a language at most.
+    Counted over all documents; a language is a label of language(), null
+    among them. What reaches the driver is MOST_REFERENCES + 1 rows at most,
+    and COMMON_WORDS words for each.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(lang_col).alias("lang"), text.alias("text"))
+    rows = docs.select(language(docs, lang_col).alias("lang"), text.alias("text"))
     width = len(CLASSES) + 1
     sums = rows.select("lang", class_counts(F.col("text")).alias("c")).groupBy("lang").agg(*[F.sum(F.get("c", F.lit(i))).alias(f"c{i}") for i in range(width)]).collect()
     counts = rows.select("lang", F.explode(_short_words(F.col("text"))).alias("word")).groupBy("lang", "word").count()
@@ -127,31 +142,30 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     8-word windows. kept: not base_failed, and neither distance to the nearest
     language's reference is above its limit; a distance is null, and judges
     nothing, below MIN_CHARS code points or MIN_WORDS words, and where no word
-    is a common one the word distance is 1. Nulls: a null text has no words, a
-    null lang is a language, a null id passes through. Repeated rows are rows
-    of their own; other columns are ignored. An empty table gives an empty
-    result.
+    is a common one the word distance is 1. References are one row of arrays,
+    of bounded size, that every document meets in a broadcast; with more than
+    MOST_REFERENCES labels the documents of the rarer ones make one reference
+    together. Nulls: a null text has no words, a null lang is a language, a
+    null id passes through. Repeated rows are rows of their own; other columns
+    are ignored. An empty table gives an empty result.
     """
     refs = references(docs, text_col, lang_col)
-    n = len(refs)
     vocabulary = sorted({w for r in refs for w in r["words"]})
+    held = docs.sparkSession.createDataFrame(
+        [(1, [[r["classes"][i] for r in refs] for i in range(len(CLASSES) + 1)], [float(sum(r["classes"]) > 0) for r in refs], {w: [r["words"].get(w, 0.0) for r in refs] for w in vocabulary}, [float(len(r["words"]) > 0) for r in refs])],
+        "one int, class_refs array<array<double>>, class_sums array<double>, shares map<string, array<double>>, word_sums array<double>")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("words", words_of(F.col("text"))).withColumn("classes", class_counts(F.col("text")))
-    array = lambda xs: F.array(*[F.lit(x) for x in xs]) if len(xs) else F.array().cast("array<double>")
-    class_refs = F.array(*[array([r["classes"][i] for r in refs]) for i in range(len(CLASSES) + 1)]) if n else F.array()
-    class_items = F.filter(F.transform("classes", lambda c, i: F.struct(c.alias("c"), F.get(class_refs, i).alias("q"))), lambda x: x["c"] > 0)
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.lit(1).alias("one")).join(F.broadcast(held), "one")
+    rows = rows.withColumn("words", words_of(F.col("text"))).withColumn("classes", class_counts(F.col("text")))
+    class_items = F.filter(F.transform("classes", lambda c, i: F.struct(c.alias("c"), F.get("class_refs", i).alias("q"))), lambda x: x["c"] > 0)
     n_chars = F.aggregate("classes", F.lit(0.0), lambda s, x: s + x)
-    class_distance = F.when((n_chars >= MIN_CHARS) & F.lit(n > 0), distances(class_items, n_chars, array([float(sum(r["classes"]) > 0) for r in refs]), n)) if n else F.lit(None).cast("double")
-    if vocabulary:
-        shares = F.create_map(*[x for w in vocabulary for x in (F.lit(w), array([r["words"].get(w, 0.0) for r in refs]))])
-        common = F.sort_array(F.filter(F.transform("words", F.lower), lambda w: w.isin(vocabulary)))
-        heads = lambda s: F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1) != x), i)), lambda x: x.isNotNull())
-        word_items = _let(common, lambda s: _let(heads(s), lambda h: F.transform(h, lambda i, k: F.struct((F.coalesce(F.get(h, k + 1), F.size(s)) - i).cast("double").alias("c"), F.element_at(shares, F.get(s, i)).alias("q")))))
-        rows = rows.withColumn("items", word_items).withColumn("n_common", F.aggregate("items", F.lit(0.0), lambda s, x: s + x["c"]))
-        some = F.when(F.col("n_common") > 0, distances(F.col("items"), F.col("n_common"), array([float(len(r["words"]) > 0) for r in refs]), n)).otherwise(1.0)
-        word_distance = F.when(F.size("words") >= MIN_WORDS, some)
-    else:
-        word_distance = F.lit(None).cast("double")
+    class_distance = F.when(n_chars >= MIN_CHARS, distances(class_items, n_chars, F.col("class_sums")))
+    common = F.sort_array(F.filter(F.transform("words", F.lower), lambda w: w.isin(vocabulary) if vocabulary else F.lit(False)))
+    heads = lambda s: F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1) != x), i)), lambda x: x.isNotNull())
+    word_items = _let(common, lambda s: _let(heads(s), lambda h: F.transform(h, lambda i, k: F.struct((F.coalesce(F.get(h, k + 1), F.size(s)) - i).cast("double").alias("c"), F.element_at("shares", F.get(s, i)).alias("q")))))
+    rows = rows.withColumn("items", word_items).withColumn("n_common", F.aggregate("items", F.lit(0.0), lambda s, x: s + x["c"]))
+    some = F.when(F.col("n_common") > 0, distances(F.col("items"), F.col("n_common"), F.col("word_sums"))).otherwise(1.0)
+    word_distance = F.when((F.size("words") >= MIN_WORDS) & F.lit(bool(vocabulary)), some)
     counted = rows.select(
         "doc_id", F.size("words").cast("long").alias("n_words"),
         (n_chars - F.get("classes", F.lit(list(CLASSES).index("space")))).cast("long").alias("word_chars"),
@@ -178,7 +192,8 @@ def _op5_sql() -> str:
     each = ", ".join("length(regexp_replace(text, '[^{}]+', '', 'g'))::DOUBLE".format(CLASSES[c].replace("'", "''")) for c in names)
     other = "length(regexp_replace(text, '[{}]+', '', 'g'))::DOUBLE".format("".join(CLASSES.values()).replace("'", "''"))
     return f"""
-WITH t AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD_CHAR}') AS w FROM documents),
+WITH lk AS (SELECT lang FROM documents WHERE lang IS NOT NULL GROUP BY lang ORDER BY count(*) DESC, lang LIMIT {MOST_REFERENCES}),
+t AS (SELECT row_number() OVER () AS rid, doc_id, CASE WHEN lang IN (SELECT lang FROM lk) THEN lang END AS lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD_CHAR}') AS w FROM documents),
 f AS (SELECT *, [{each}, {other}] AS c, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{WORD_CHAR}')) AS lines, list_transform(w, lambda x: lower(x)) AS lw FROM t),
 win AS (SELECT rid, i, w[i:i + {WINDOW - 1}] AS k FROM (SELECT rid, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM t)),
 rep AS (SELECT rid, i FROM win QUALIFY count(*) OVER (PARTITION BY rid, k) > 1),

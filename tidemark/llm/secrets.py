@@ -1,12 +1,13 @@
 """Secret scans with multipart credential linking, in DataFrame operations only.
 
 Base spans are the strong patterns: ``assign``, ``access`` and ``hex``. Where a
-text also holds an access identifier or a named user, weak candidates are
-looked for too: ``key`` (a long mixed-case token), ``user`` (a named user) and
-``endpoint`` (a URL). Parts are interval-joined within SCOPE code points, and a
-weak candidate is reported only when the parts that complement it are there:
-a key beside an identifier (access or user), a user beside a secret (assign,
-hex or key) and an endpoint, an endpoint beside an identifier and a secret.
+text also holds an access identifier or a user, weak candidates are looked for
+too: ``key`` (a long mixed-case token), ``user`` (a named user or a mail
+address) and ``endpoint`` (a URL, or an IPv4 address with or without a port).
+Parts are interval-joined within SCOPE code points, and a weak candidate is
+reported only when the parts that complement it are there: a key beside an
+identifier (access or user), a user beside a secret (assign, hex or key), an
+endpoint beside an identifier and a secret.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ ASSIGN = f"({'|'.join(map(_either, ('password', 'passwd', 'secret', 'token')))}|
 #: maximal runs: of 20 characters or more, and of 24 or more
 ACCESS, HEX = "AKIA[A-Z0-9]{16,}", "[0-9a-f]{24,}"
 KEY = "[A-Za-z0-9+/]{32,}"
-USER = f"({'|'.join(map(_either, ('username', 'user', 'login', 'account', 'client_id')))}){_VALUE}([A-Za-z0-9._@+-]{{3,}})"
-ENDPOINT = r"""https?://[^\x20\x09-\x0D"'<>]+"""
+USER = f"({'|'.join(map(_either, ('username', 'user', 'login', 'account', 'client_id')))}){_VALUE}([A-Za-z0-9._@+-]{{3,}})|[A-Za-z0-9._%+-]{{1,64}}@[A-Za-z0-9-]{{1,63}}(\\.[A-Za-z0-9-]{{1,63}})+"
+ENDPOINT = r"""https?://[^\x20\x09-\x0D"'<>]+|[0-9]{1,3}(\.[0-9]{1,3}){3}(:[0-9]{1,5})?"""
 MASK = "[SECRET]"
 
 
@@ -98,13 +99,13 @@ def parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     signed = t.contains("=") | t.contains(":")
     rows = rows.select(
         "doc_id", "text", find_spans(t, ASSIGN, 0, signed, 2, 6).alias("assign"), find_spans(t, ACCESS, 1, t.contains("AKIA")).alias("access"),
-        find_spans(t, HEX, 2, F.lit(True)).alias("hex"), find_spans(t, USER, 4, signed).alias("user"),
+        find_spans(t, HEX, 2, F.lit(True)).alias("hex"), find_spans(t, USER, 4, signed | t.contains("@")).alias("user"),
     )
     named = (F.size("access") > 0) | (F.size("user") > 0)
     return rows.select(
         "doc_id", "assign", "access", "hex",
         F.array_sort(F.concat("assign", "access", "hex")).alias("base"),
-        F.array_sort(F.concat("user", find_spans(t, KEY, 3, named, 0, 0, _mixed_case), find_spans(t, ENDPOINT, 5, named & t.contains("://")))).alias("weak"),
+        F.array_sort(F.concat("user", find_spans(t, KEY, 3, named, 0, 0, _mixed_case), find_spans(t, ENDPOINT, 5, named & (t.contains("://") | t.contains("."))))).alias("weak"),
     ).select("doc_id", F.size("assign").cast("long").alias("n_assign"), F.size("access").cast("long").alias("n_access"), F.size("hex").cast("long").alias("n_hex"), "base", "weak")
 
 
@@ -121,8 +122,8 @@ def linked_parts(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     near = few.select(F.col("doc_id").alias("d"), F.col("tag").alias("t"), F.explode(F.concat("base", "weak")).alias("p")).select("d", "t", "p", F.explode(F.sequence(cell(F.col("p.s") - scope), cell(F.col("p.e") + scope))).alias("c"))
     met = weak.join(near, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tag") == F.col("t")) & (F.col("cell") == F.col("c")) & (F.col("p.s") <= F.col("w.e") + scope) & (F.col("w.s") <= F.col("p.e") + scope))
     kind = F.col("p.k")
-    roles = met.groupBy("doc_id", "tag", "w").agg(F.bool_or(kind.isin(1, 4)).alias("identifier"), F.bool_or(kind.isin(0, 2, 3)).alias("secret"), F.bool_or(kind == 5).alias("endpoint"))
-    whole = ((F.col("w.k") == 3) & F.col("identifier")) | ((F.col("w.k") == 4) & F.col("secret") & F.col("endpoint")) | ((F.col("w.k") == 5) & F.col("identifier") & F.col("secret"))
+    roles = met.groupBy("doc_id", "tag", "w").agg(F.bool_or(kind.isin(1, 4)).alias("identifier"), F.bool_or(kind.isin(0, 2, 3)).alias("secret"))
+    whole = ((F.col("w.k") == 3) & F.col("identifier")) | ((F.col("w.k") == 4) & F.col("secret")) | ((F.col("w.k") == 5) & F.col("identifier") & F.col("secret"))
     return roles.where(whole).groupBy("doc_id", "tag").agg(F.array_sort(F.collect_list("w")).alias("linked"))
 
 
@@ -143,17 +144,20 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return plain.unionByName(joined)
 
 
-def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
-    """docs with secrets masked: every base match of its kind, then the texts of reported weak spans.
+def _without(text: Column, spans: Column) -> Column:
+    """text with MASK in place of each run of overlapping spans; spans by start."""
+    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
+
+    def cut(acc: Column, x: Column) -> Column:
+        between = F.substring(text, (acc["at"] + 1).cast("int"), (x["s"] - acc["at"]).cast("int"))
+        out = F.when(x["s"] >= acc["at"], F.concat(acc["out"], between, F.lit(MASK))).otherwise(acc["out"])
+        return F.struct(out.alias("out"), F.greatest(acc["at"], x["e"]).alias("at"))
+
+    return F.aggregate(spans, start, cut, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
 
-    Kinds are masked in the order assign, access, hex, each in the text as
-    masked so far; then each linked value wherever it stands in its row's text.
-    Texts without a secret stay as they are, null ones too; chars_col, where
-    there is one, follows the text. Only documents with weak candidates are
-    shuffled, and of them only ids and spans. Columns are those of docs.
-    """
-    t = F.col(text_col)
 
+def _base_masked(t: Column) -> Column:
+    """Base matches masked kind by kind, in the order assign, access, hex, each in the text as masked so far; linear in the text."""
     def assigns(x: Column) -> Column:
         masked = F.zip_with(F.transform(x["m"], lambda m, i: F.when(F.length(F.get(x["v"], i)) >= 6, F.lit(MASK)).otherwise(m)), F.slice(x["b"], 2, F.size(x["m"])), lambda m, b: F.concat(m, b))
         return F.concat(F.get(x["b"], F.lit(0)), F.array_join(masked, ""))
@@ -161,16 +165,33 @@ def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     matched = F.struct(F.regexp_extract_all(t, F.lit(ASSIGN), F.lit(0)).alias("m"), F.split(t, ASSIGN, -1).alias("b"), F.regexp_extract_all(t, F.lit(ASSIGN), F.lit(2)).alias("v"))
     base = F.when((t.contains("=") | t.contains(":")) & t.rlike(ASSIGN), _let(matched, assigns)).otherwise(t)
     base = F.when(base.contains("AKIA"), F.regexp_replace(base, ACCESS, MASK)).otherwise(base)
-    base = F.when(t.rlike(HEX), F.regexp_replace(base, HEX, MASK)).otherwise(base)
+    return F.when(t.rlike(HEX), F.regexp_replace(base, HEX, MASK)).otherwise(base)
+
+
+def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """docs with secrets masked: every base match, and the reported weak spans.
+
+    A text with linked spans is cut by position: base and linked spans of the
+    original text, overlapping ones as one. Other texts are masked kind by
+    kind. Texts without a secret stay as they are, null ones too; chars_col,
+    where there is one, follows the text. Null ids, repeated rows and rows
+    that share an id are masked by their own text's spans. Documents without
+    an identifier are masked in the scan; only the others, which could have a
+    weak candidate reported, are shuffled. An empty table gives an empty
+    result. Columns are those of docs.
+    """
+    t = F.col(text_col)
+    might = F.coalesce((t.contains("AKIA") & t.rlike(ACCESS)) | ((t.contains("=") | t.contains(":") | t.contains("@")) & t.rlike(USER)), F.lit(False))
 
     # spans are positions in one text: rows that share an id, or have none, keep their own
-    keyed = docs.withColumn("__key", F.concat_ws(":", F.col(id_col).cast("string"), F.xxhash64(t).cast("string")))
+    keyed = docs.where(might).withColumn("__key", F.concat_ws(":", F.col(id_col).cast("string"), F.sha2(t, 256)))
     found = materialize(parts(keyed, "__key", text_col).where(F.size("weak") > 0), "secret-weak")
-    spans = linked_parts(found).select(F.col("doc_id").alias("__id"), "linked").groupBy("__id").agg(F.flatten(F.collect_list("linked")).alias("__linked"))
-    few = keyed.join(spans, F.col("__key") == F.col("__id"), "left")
-    values = F.transform("__linked", lambda x: F.substring(t, (x["s"] + 1).cast("int"), (x["e"] - x["s"]).cast("int")))
-    cleaned = F.when(F.col("__linked").isNotNull(), F.aggregate(F.filter(values, lambda v: F.length(v) > 2), base, lambda s, v: F.replace(s, v, F.lit(MASK)))).otherwise(base)
-    out = few.withColumn("__text", cleaned)
+    more = linked_parts(found).select(F.col("doc_id").alias("__id"), "linked")
+    bases = found.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("__b"), "base")
+    spans = more.dropDuplicates(["__id"]).join(bases, F.col("__id") == F.col("__b")).select("__id", F.array_sort(F.concat("base", "linked")).alias("__spans"))
+    linked = keyed.join(spans, F.col("__key") == F.col("__id"), "left")
+    some = linked.withColumn("__text", F.when(F.col("__spans").isNotNull(), _without(t, F.col("__spans"))).otherwise(_base_masked(t)))
+    out = docs.where(~might).withColumn("__text", _base_masked(t)).unionByName(some.drop("__key", "__id", "__spans"))
     chars = {chars_col: F.when(F.col("__text") == t, F.col(chars_col)).otherwise(F.length("__text").cast("long")).cast(docs.schema[chars_col].dataType)} if chars_col in docs.columns else {}
     changed = {c: F.coalesce(e, F.col(c)) for c, e in chars.items()} | {text_col: F.col("__text")}
     return out.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
@@ -198,11 +219,11 @@ found AS (
   FROM each WHERE (k <> 0 OR length(v[i]) >= 6) AND (k <> 3 OR (regexp_matches(m[i], '[A-Z]') AND regexp_matches(m[i], '[a-z]') AND regexp_matches(m[i], '[0-9]')))
 ), parts AS (SELECT rid, k, s, s + n AS e FROM spans),
 roles AS (
-  SELECT w.rid, w.k, w.s, w.e, bool_or(p.k IN (1, 4)) AS identifier, bool_or(p.k IN (0, 2, 3)) AS secret, bool_or(p.k = 5) AS endpoint
+  SELECT w.rid, w.k, w.s, w.e, bool_or(p.k IN (1, 4)) AS identifier, bool_or(p.k IN (0, 2, 3)) AS secret
   FROM parts w JOIN parts p ON w.rid = p.rid AND p.s <= w.e + {SCOPE} AND w.s <= p.e + {SCOPE} WHERE w.k > 2 GROUP BY ALL
 ), kept AS (
   SELECT rid, k, s, e FROM parts WHERE k < 3 UNION ALL
-  SELECT rid, k, s, e FROM roles WHERE (k = 3 AND identifier) OR (k = 4 AND secret AND endpoint) OR (k = 5 AND identifier AND secret)
+  SELECT rid, k, s, e FROM roles WHERE (k = 3 AND identifier) OR (k = 4 AND secret) OR (k = 5 AND identifier AND secret)
 ), written AS (
   SELECT rid, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
     string_agg(([{", ".join(repr(k) for k in KINDS)}])[k + 1] || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (k < 3) AS base,
