@@ -69,15 +69,60 @@ def test_op8_recall_and_odd_vectors(spark):
     assert rpforest.op8_embedding_dedup(spark.createDataFrame([], VEC)).count() == 0
 
 
-def test_dense_leaf_is_counted_exactly(monkeypatch):
-    monkeypatch.setattr(rpforest, "PAIRED", 10)
+def cone(rng, n, dims, width, core=6):
+    """Vectors around one direction that differ in core dimensions only: a continuum of cosines."""
+    x = np.zeros((n, dims))
+    x[:, 0] = 1
+    x[:, 1:1 + core] = rng.standard_normal((n, core)) * width
+    return x @ np.linalg.qr(rng.standard_normal((dims, dims)))[0]
+
+
+@pytest.mark.parametrize("core,width", [(6, 0.25), (40, 0.023), (6, 0.02)])
+def test_op8_at_default_parameters(spark, core, width):
+    """A continuum of 6000 vectors of one label: wide, loosely dense, and all within a ball; counts are those of the links found."""
+    rng = np.random.default_rng(8)
+    x = cone(rng, 6000, 64, width, core)
+    rows = [(i, v.astype(np.float32).tolist(), 1) for i, v in enumerate(x)]
+    got = {r.vec_id: r for r in rpforest.op8_embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    u = rpforest.unit(x.astype(np.float32))
+    hit = u @ u.T >= 0.98
+    np.fill_diagonal(hit, False)
+    true, mine = hit.sum(axis=1), np.array([got[i].n_links for i in range(6000)])
+    assert (mine <= true).all() and mine.sum() >= 0.9 * true.sum()
+    print("recall", core, width, mine.sum() / max(1, true.sum()), (mine == true).mean())
+
+
+def test_leaves_that_overlap_count_a_link_once(spark, monkeypatch):
+    """Small leaves and blocks: every count is that of links found, whatever trees, balls and blocks meet a pair."""
+    monkeypatch.setattr(rpforest, "BLOCK", 50)
+    rng = np.random.default_rng(11)
+    x = np.concatenate([cone(rng, 300, 16, 0.02), cone(rng, 300, 16, 0.12), rng.standard_normal((200, 16))])
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+    got = {r.vec_id: r for r in rpforest.near_duplicates(spark.createDataFrame(rows, VEC), leaf=60, trees=12).collect()}
+    u = rpforest.unit(x)
+    hit = u @ u.T >= 0.98
+    np.fill_diagonal(hit, False)
+    true, mine = hit.sum(axis=1), np.array([got[i].n_links for i in range(len(x))])
+    assert (mine <= true).all() and mine.sum() >= 0.97 * true.sum() and (mine[:300] > 100).all()
+    assert len({got[i].component_id for i in range(300)}) == 1
+
+
+def test_repeated_vector_ids(spark):
+    a, b = [1.0, 0.0, 0.2], [0.0, 1.0, 0.2]
+    rows = [(1, a, 0), (1, b, 0), (2, a, 0), (3, b, 0), (1, a, 0)]
+    got = collections.Counter(map(tuple, rpforest.op8_embedding_dedup(spark.createDataFrame(rows, VEC)).collect()))
+    assert got == collections.Counter({(1, 2, 1, True): 2, (2, 2, 1, False): 1, (1, 1, 1, True): 1, (3, 1, 1, False): 1})
+
+
+def test_leaf_counts_are_brute_force():
     x = np.array(near_groups(np.random.default_rng(1), 3, 60))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    w = np.arange(1, len(x) + 1)
-    links, root = rpforest.links_in_leaf(x, w)
-    near = (x @ x.T >= 0.98) & ~np.eye(len(x), dtype=bool)
+    w, n = np.arange(1, len(x) + 1), len(x)
+    leaves = np.column_stack([np.full(n, 4), np.where(np.arange(n) < 20, 2, -1)])
+    links, root = rpforest.links_in_leaf(4, x, w, leaves, np.full(n, -1), np.zeros(n, int))
+    near = (x @ x.T >= 0.98) & ~np.eye(n, dtype=bool)
+    near[:20, :20] = False  # those are counted in leaf 2
     assert links.tolist() == (near @ w).tolist()
-    assert len(set(root)) == 3
 
 
 def test_viterbi_by_segments_is_viterbi_of_the_whole(spark):
