@@ -1,9 +1,9 @@
 """Best-fit packing by patterns and non-negative least squares.
 
 Only the histogram of piece lengths (at most ``capacity`` numbers, whatever
-the corpus) is planned with. Patterns of one to three lengths that fill a
+the corpus) is planned with. Patterns of one to four lengths that fill a
 sequence are enumerated, repeat counts are fitted to the histogram by
-non-negative least squares, rounded down, and what is left is packed best-fit,
+non-negative least squares, rounded, and what is left is packed best-fit,
 longest first, over counts of equal lengths and equal gaps. The plan says for
 each length which ranks lie in which sequences, so a piece finds its place
 from its rank among the pieces of its length.
@@ -26,59 +26,101 @@ from tidemark.llm.wordcache import shared
 from tidemark.storage import materialize
 
 CAPACITY, END_ID = 4096, 1
-#: Patterns tried for each longest length, by the scarcest length's count, and sweeps of the fit.
-PATTERNS_EACH, SWEEPS, SLACK = 8, 12, 8
+#: Choices of each further length, tokens a pattern may leave free, and the fit's largest projected gradient, in pieces.
+PATTERNS_EACH, SLACK, TOLERANCE = 8, 8, 0.05
 
 
 def enumerate_patterns(hist: np.ndarray, capacity: int, each: int = PATTERNS_EACH, slack: int = SLACK) -> list[tuple[int, ...]]:
-    """Patterns (longest first) of one to three lengths present, filling capacity but for slack at most."""
+    """Patterns (longest first) of one to four lengths present, filling capacity but for slack at most.
+
+    For each longest length the second (and third) lengths tried are those of
+    most pieces; the last is the longest that fits.
+    """
     present = np.flatnonzero(hist)
-    out = []
+    out: set[tuple[int, ...]] = set()
     best_below = np.full(capacity + 1, 0)  # the longest present length up to i, 0 if none
     best_below[present] = present
     np.maximum.accumulate(best_below, out=best_below)
+
+    def most(limit: int, n: int) -> np.ndarray:
+        some = present[present <= limit]
+        return some[np.argsort(-hist[some], kind="stable")[:n]]
+
     for a in present[::-1].tolist():
         left = capacity - a
         if left <= slack:
-            out.append((a,))
+            out.add((a,))
             continue
         b = int(best_below[min(left, a)])
         if b and left - b <= slack:
-            out.append((a, b))
-        second = present[(present <= min(a, left - 1))]
+            out.add((a, b))
+        second = present[present <= min(a, left - 1)]
         third = best_below[np.minimum(left - second, second)]
         ok = (third > 0) & (left - second - third <= slack)
-        second, third = second[ok], third[ok]
-        if len(second):
-            scarce = np.minimum(hist[second], hist[third])
-            top = np.argsort(-scarce, kind="stable")[:each]
-            out += [(a, int(second[i]), int(third[i])) for i in top]
-    return out
+        scarce = np.minimum(hist[second[ok]], hist[third[ok]])
+        top = np.argsort(-scarce, kind="stable")[:each]
+        out.update((a, int(x), int(y)) for x, y in zip(second[ok][top], third[ok][top]))
+        for x in most(min(a, left - 1), each).tolist():
+            y = most(min(x, left - x - 1), each) if left - x > 1 else present[:0]
+            z = best_below[np.minimum(left - x - y, y)]
+            fine = (z > 0) & (left - x - y - z <= slack)
+            out.update((a, x, int(y), int(z)) for y, z in zip(y[fine], z[fine]))
+    return sorted(out, reverse=True)
+
 
+def fit_repeats(hist: np.ndarray, patterns: list[tuple[int, ...]], tolerance: float = TOLERANCE) -> list[int]:
+    """Whole repeat counts: non-negative least squares, then rounded to what the histogram holds.
 
-def fit_repeats(hist: np.ndarray, patterns: list[tuple[int, ...]], sweeps: int = SWEEPS) -> list[int]:
-    """Whole repeat counts: non-negative least squares by coordinate descent, then rounded down to what the histogram holds."""
-    rest = hist.astype(float).tolist()
-    uses = [list({x: p.count(x) for x in p}.items()) for p in patterns]
-    repeats = [0.0] * len(patterns)
-    for _ in range(sweeps):
-        moved = 0.0
-        for j, use in enumerate(uses):
-            step = sum(rest[x] * n for x, n in use) / sum(n * n for _, n in use)
-            step = max(step, -repeats[j])
-            if step:
-                repeats[j] += step
-                moved += abs(step)
-                for x, n in use:
-                    rest[x] -= n * step
-        if moved < 0.5:
+    Minimises the squared difference between the histogram and the lengths
+    that the patterns use, by accelerated projected gradients with restarts,
+    until no coordinate's projected gradient is above tolerance pieces.
+    Counts are rounded down, and then up in the order of their fractions as
+    long as the histogram holds the pieces.
+    """
+    if not patterns:
+        return []
+    h, width = hist.astype(float), max(map(len, patterns))
+    uses = np.zeros((len(patterns), width), dtype=np.int64)
+    for k, p in enumerate(patterns):
+        uses[k, : len(p)] = p
+    used = (uses > 0).astype(float)
+
+    def forward(x: np.ndarray) -> np.ndarray:
+        return np.bincount(uses.ravel(), weights=(x[:, None] * used).ravel(), minlength=len(h))
+
+    def slope(x: np.ndarray) -> np.ndarray:
+        return ((forward(x) - h)[uses] * used).sum(axis=1)
+
+    v = np.ones(len(patterns))
+    for _ in range(30):  # the largest curvature
+        v = (forward(v)[uses] * used).sum(axis=1)
+        top = float(np.sqrt(v @ v))
+        v /= top
+    x = y = np.zeros(len(patterns))
+    speed = 1.0
+    while True:
+        g = slope(y)
+        new = np.maximum(0.0, y - g / (1.02 * top))
+        if g @ (new - x) > 0:  # going uphill: begin again without momentum
+            speed, y = 1.0, x
+            g = slope(y)
+            new = np.maximum(0.0, y - g / (1.02 * top))
+        faster = (1 + math.sqrt(1 + 4 * speed * speed)) / 2
+        y, x, speed = new + (speed - 1) / faster * (new - x), new, faster
+        rest = slope(x)
+        if np.abs(np.where(x > 0, rest, np.minimum(rest, 0))).max() <= tolerance:
             break
-    left, out = hist.tolist(), []
-    for use, r in zip(uses, repeats):
-        k = max(0, min([math.floor(r + 1e-9), *(left[x] // n for x, n in use)]))
-        for x, n in use:
-            left[x] -= n * k
-        out.append(int(k))
+    left, out = hist.copy(), [0] * len(patterns)
+    whole = np.floor(x + 1e-9)
+    for extra in (False, True):
+        order = np.argsort(-(x - whole), kind="stable").tolist() if extra else range(len(patterns))
+        for k in order:
+            n = int(x[k] > 1e-6) if extra else int(whole[k])
+            if n:
+                lengths, count = np.unique(patterns[k], return_counts=True)
+                n = max(0, min(n, int((left[lengths] // count).min())))
+                left[lengths] -= n * count
+                out[k] += n
     return out
 
 
@@ -121,6 +163,12 @@ def pack_residuals(hist: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...
     return [(content, n) for kinds in open_by_gap.values() for content, n in kinds.items()]
 
 
+def fill_patterns(hist: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths in a sequence, how many such sequences) from patterns alone."""
+    patterns = enumerate_patterns(hist, capacity)
+    return [(p, n) for p, n in zip(patterns, fit_repeats(hist, patterns)) if n]
+
+
 def plan(hist: dict[int, int], capacity: int = CAPACITY) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each length: first ranks of its runs, the runs' first sequences and offsets.
 
@@ -130,8 +178,7 @@ def plan(hist: dict[int, int], capacity: int = CAPACITY) -> dict[int, tuple[np.n
     h = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in hist.items():
         h[length] = n
-    patterns = enumerate_patterns(h, capacity)
-    fills = [(p, n) for p, n in zip(patterns, fit_repeats(h, patterns)) if n]
+    fills = fill_patterns(h, capacity)
     for p, n in fills:
         for x in p:
             h[x] -= n

@@ -33,8 +33,10 @@ MARKER = re.compile(rf"^\s*(?:[#>*\-]{{1,4}}\s*)?(?:\[({_NAME})\]\s*:?|<\|?({_NA
 FORMS = ("empty", "asks", "list", "code", "short", "long")
 #: Counts added to every event when the model is fitted, and turns of a segment.
 PRIOR, TURNS_A_SEGMENT = 0.5, 256
-#: How marked turns are written where a transcript is made of turns; the last is no marker.
-STYLES = ("{0}: ", "[{0}] ", "### {0}:\n", "**{0}**: ", "<{0}> ", "")
+#: How turns are written where a transcript is made of them; the last has no marker, only an empty line before it.
+STYLES = ("{0}: ", "[{0}] ", "### {0}:\n", "**{0}**: ", "<{0}> ", "\n")
+#: What begins a control word of the canonical rendering, and how it is written where a text holds it.
+CONTROL, ESCAPED = "<|", "<\\|"
 
 
 def marker(line: str) -> tuple[str | None, str]:
@@ -123,27 +125,47 @@ class Hmm:
         return path[::-1]
 
 
+def written(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """(c, t, r, x): turns written as raw transcript lines.
+
+    A turn's style is drawn by a hash of its place; a sixth have no marker but
+    an empty line before them. Null roles have neither.
+    """
+    style = F.pmod(F.xxhash64(F.col(conv_col), F.col(turn_col), F.lit(3)), F.lit(len(STYLES)))
+    name = F.initcap(F.col(role_col))
+    wrote: Column = F.lit("")
+    for i, s in enumerate(STYLES):
+        a, _, b = s.partition("{0}")
+        wrote = F.when((style == i) & name.isNotNull(), F.concat(F.lit(a), name, F.lit(b)) if b else F.lit(a)).otherwise(wrote)
+    return turns.select(F.col(conv_col).alias("c"), F.col(turn_col).alias("t"), F.col(role_col).alias("r"), F.concat(wrote, F.coalesce(F.col(text_col), F.lit(""))).alias("x"))
+
+
 def fit(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> Hmm:
-    """Count events over all labelled turns, as transcripts of them would show them; what reaches the driver is a few dozen counts."""
-    role = F.lower(F.col(role_col))
-    rows = turns.where(role.isin(*ROLES)).select(F.col(conv_col).alias("c"), F.col(turn_col).alias("t"), role.alias("r"), F.col(text_col).alias("x"))
-    before = F.lag("r").over(Window.partitionBy("c").orderBy("t", "r", "x"))
-    pairs = rows.withColumn("b", before).groupBy("b", "r").count().collect()
-
-    def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros((len(STATES), len(FORMS) + 1), dtype=np.int64)
+    """Count events over all labelled turns as written(): markers and forms of lines, and which role follows which.
+
+    What reaches the driver is a few dozen counts. Turns of other or null
+    roles do not teach; turns of one number are ordered by role; null texts
+    are empty; repeated rows count each. An empty table gives the priors
+    alone. The order of roles is found without their texts.
+    """
+    rows = written(turns, conv_col, turn_col, role_col, text_col).withColumn("r", F.lower("r")).where(F.col("r").isin(*ROLES))
+    before = F.lag("r").over(Window.partitionBy("c").orderBy("t", "r"))
+    pairs = rows.select("c", "t", "r").withColumn("b", before).groupBy("b", "r").count().collect()
+    width = len(FORMS) + 4
+
+    def events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((len(STATES), width), dtype=np.int64)
         for roles, texts in slices(batches):
             for r, x in zip(roles, texts):
-                for k, line in enumerate((x or "").split("\n")):
-                    s = STATES.index((r, k == 0))
-                    out[s, form(line)] += 1
-                    out[s, -1] += 1
+                for k, line in enumerate(x.split("\n")):
+                    s, (who, rest) = STATES.index((r, k == 0)), marker(line)
+                    out[s, ROLES.index(who) if who else 3] += 1
+                    out[s, 4 + form(rest)] += 1
         i, j = np.indices(out.shape)
         yield pa.RecordBatch.from_arrays([pa.array(a.reshape(-1).astype(np.int64)) for a in (i, j, out)], names=["s", "f", "n"])
 
-    seen = rows.select("r", "x").mapInArrow(shapes, "s long, f long, n long").groupBy("s", "f").agg(F.sum("n").alias("n")).collect()
-    n, m = len(STATES), Hmm.default()
-    counts = np.zeros((n, len(FORMS) + 1))
+    seen = rows.select("r", "x").mapInArrow(events, "s long, f long, n long").groupBy("s", "f").agg(F.sum("n").alias("n")).collect()
+    n, counts = len(STATES), np.zeros((len(STATES), width))
     for r in seen:
         counts[r.s, r.f] = r.n
     start, step = np.zeros(n), np.zeros((n, n))
@@ -154,29 +176,19 @@ def fit(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", rol
             for first in (True, False):
                 step[STATES.index((p.b, first)), STATES.index((p.r, True))] += p["count"]
     for r in ROLES:
-        more = counts[STATES.index((r, False)), -1]
         for first in (True, False):
-            step[STATES.index((r, first)), STATES.index((r, False))] += more
-    fitted = Hmm.from_counts(start, step, np.zeros((n, 4)), counts[:, :-1])
-    return Hmm(fitted.start, fitted.step, m.mark, fitted.shape)
+            step[STATES.index((r, first)), STATES.index((r, False))] += counts[STATES.index((r, False)), :4].sum()
+    return Hmm.from_counts(start, step, counts[:, :4], counts[:, 4:])
 
 
 def segments_of_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", per: int = TURNS_A_SEGMENT) -> DataFrame:
-    """(conv_id, segment, text): turns written as raw transcript lines, per turns a segment at most by turn number.
+    """(conv_id, segment, text): turns as written(), per turns a segment at most by turn number.
 
-    A turn's style is drawn by a hash of its place; a sixth have no marker.
-    Null roles have none either. Turns that share a number are in one segment,
-    ordered by role and text.
+    Turns that share a number are in one segment, ordered by role and text.
     """
-    style = F.pmod(F.xxhash64(F.col(conv_col), F.col(turn_col), F.lit(3)), F.lit(len(STYLES)))
-    name = F.initcap(F.col(role_col))
-    wrote: Column = F.lit("")
-    for i, s in enumerate(STYLES):
-        a, b = s.split("{0}") if s else ("", "")
-        wrote = F.when((style == i) & F.lit(bool(s)) & name.isNotNull(), F.concat(F.lit(a), name, F.lit(b))).otherwise(wrote)
-    line = F.concat(wrote, F.coalesce(F.col(text_col), F.lit("")))
-    rows = turns.select(F.col(conv_col).alias("conv_id"), F.floor(F.coalesce(F.col(turn_col), F.lit(0)) / per).cast("long").alias("segment"), F.struct(F.col(turn_col).alias("t"), F.col(role_col).alias("r"), line.alias("x")).alias("row"))
-    return rows.groupBy("conv_id", "segment").agg(F.array_join(F.transform(F.array_sort(F.collect_list("row")), lambda x: x["x"]), "\n").alias("text"))
+    rows = written(turns, conv_col, turn_col, role_col, text_col)
+    placed = rows.select(F.col("c").alias("conv_id"), F.floor(F.coalesce("t", F.lit(0)) / per).cast("long").alias("segment"), F.struct("t", "r", "x").alias("row"))
+    return placed.groupBy("conv_id", "segment").agg(F.array_join(F.transform(F.array_sort(F.collect_list("row")), lambda x: x["x"]), "\n").alias("text"))
 
 
 def parse(segments: DataFrame, model: Hmm) -> DataFrame:
@@ -186,13 +198,15 @@ def parse(segments: DataFrame, model: Hmm) -> DataFrame:
     order; a transcript in one row is one segment. text is the line without
     its marker; first says that a turn begins there. Null text is an empty
     line, null conv_id a transcript like others, repeated (conv_id, segment)
-    are ordered by text. An empty table gives an empty result.
+    are ordered by a hash of their text. An empty table gives an empty result.
     """
     spark = segments.sparkSession
     held = spark.sparkContext.broadcast(model)
-    rows = segments.select("conv_id", "segment", F.coalesce("text", F.lit("")).alias("text"), F.count("*").over(Window.partitionBy("conv_id")).alias("parts"))
-    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("conv_id").orderBy("segment", "text")))
-    rows = materialize(rows, "transcript-segments")
+    rows = materialize(segments.select("conv_id", "segment", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("rid")), "transcript-segments")
+    # a conversation's segments are counted and placed without their texts
+    heads = rows.select("conv_id", "segment", "rid", F.xxhash64("text").alias("h"))
+    places = heads.select("rid", F.count("*").over(Window.partitionBy("conv_id")).alias("parts"), F.row_number().over(Window.partitionBy("conv_id").orderBy("segment", "h", "rid")).alias("place"))
+    rows = materialize(rows.join(places, "rid").drop("rid"), "transcript-places")
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for conv, place, texts in slices(batches):
@@ -252,12 +266,20 @@ def parse(segments: DataFrame, model: Hmm) -> DataFrame:
 
 
 def render(lines: DataFrame) -> DataFrame:
-    """(conv_id, segment, n_lines, n_turns, roles, rendered): turns as <|role|>, their lines, <|end|>; a segment that continues a turn begins with its lines."""
-    row = F.struct("line", "role", "first", "text")
-    per = lines.groupBy("conv_id", "segment").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    written = F.transform("rows", lambda x, i: F.concat(F.when(x["first"] & (i > 0), F.lit("<|end|>\n")).otherwise(F.lit("")), F.when(x["first"], F.concat(F.lit("<|"), x["role"], F.lit("|>\n"))).otherwise(F.lit("")), x["text"], F.lit("\n")))
+    """(conv_id, segment, n_lines, n_turns, roles, rendered): turns as <|role|>, their lines, <|end|>; a segment that continues a turn begins with its lines.
+
+    The empty line that begins an unmarked turn is left out. Where a text
+    holds the beginning of a control word it is escaped, so that no text can
+    forge a turn.
+    """
+    text = F.replace("text", F.lit(CONTROL), F.lit(ESCAPED))
+    per = lines.groupBy("conv_id", "segment").agg(F.array_sort(F.collect_list(F.struct("line", "role", "first", text.alias("text")))).alias("rows"))
+    heads = F.transform("rows", lambda x, i: F.concat(F.when(x["first"] & (i > 0), F.lit("<|end|>\n")).otherwise(F.lit("")), F.when(x["first"], F.concat(F.lit("<|"), x["role"], F.lit("|>\n"))).otherwise(F.lit(""))))
+    blank = lambda x, i: x["first"] & (x["text"] == "") & F.coalesce(~F.get("rows", i + 1)["first"], F.lit(False))
+    lines_ = F.transform("rows", lambda x, i: F.when(blank(x, i), F.lit("")).otherwise(F.concat(x["text"], F.lit("\n"))))
+    said = F.zip_with(heads, lines_, lambda h, x: F.concat(h, x))
     turns = F.filter("rows", lambda x: x["first"])
-    return per.select("conv_id", "segment", F.size("rows").cast("long").alias("n_lines"), F.size(turns).cast("long").alias("n_turns"), F.array_join(F.transform(turns, lambda x: x["role"]), ",").alias("roles"), F.concat(F.array_join(written, ""), F.lit("<|end|>\n")).alias("rendered"))
+    return per.select("conv_id", "segment", F.size("rows").cast("long").alias("n_lines"), F.size(turns).cast("long").alias("n_turns"), F.array_join(F.transform(turns, lambda x: x["role"]), ",").alias("roles"), F.concat(F.array_join(said, ""), F.lit("<|end|>\n")).alias("rendered"))
 
 
 def op9_chat_transcripts(turns: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrowio import slices
-from tidemark.llm.files import reading, writing
+from tidemark.llm.files import each_item, open_fs, reading, writing
 from tidemark.storage import new_path
 
 CHUNK, PROFILE = 1 << 20, "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -182,16 +182,20 @@ def write_monolithic(records: DataFrame, folder: str) -> list[str]:
 
 
 def normalise_all(spark, paths: list[str], folder: str) -> list[tuple[str, str]]:
-    """Normalise each file in a task of its own; returns (archive, index) URIs."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path in batch.column(0).to_pylist():
-                target = f"{folder}/{path.rpartition('/')[2]}"
-                normalise(path, target, f"{target}.idx")
-                yield pa.RecordBatch.from_arrays([pa.array([target]), pa.array([f"{target}.idx"])], names=["archive", "index"])
+    """Normalise each file in a task of its own and delete it then; returns (archive, index) URIs.
+
+    A task that is repeated after its file has gone finds the whole archive
+    and index, which take their names last.
+    """
+    def run(path: str) -> Iterator[pa.RecordBatch]:
+        target = f"{folder}/{path.rpartition('/')[2]}"
+        system, own = open_fs(path)
+        if system.get_file_info(own).type.name != "NotFound":
+            normalise(path, target, f"{target}.idx")
+            system.delete_file(own)
+        yield pa.RecordBatch.from_arrays([pa.array([target]), pa.array([f"{target}.idx"])], names=["archive", "index"])
 
-    listed = spark.createDataFrame([(p,) for p in paths], "path string")
-    return sorted((r.archive, r["index"]) for r in listed.repartition(max(1, len(paths)), "path").mapInArrow(run, "archive string, index string").collect())
+    return sorted((r.archive, r["index"]) for r in each_item(spark, paths, run, "archive string, index string").collect())
 
 
 def read_archives(spark, files: list[tuple[str, str]]) -> DataFrame:
@@ -204,35 +208,33 @@ def read_archives(spark, files: list[tuple[str, str]]) -> DataFrame:
         x = (x or "").removeprefix("<urn:page:").removesuffix(">")
         return None if x in ("", "null") else int(x)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for archive, index in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows = []
-                with reading(index) as side, reading(archive) as f:
-                    lines, tail = _read_chunks(side), b""
-                    for data in lines:
-                        *whole, tail = (tail + data).split(b"\n")
-                        for line in whole:
-                            at = json.loads(line)
-                            fields, block = read_record(f, at["offset"], at["length"])
-                            http, _, payload = block.partition(b"\r\n\r\n")
-                            size = int(next(x for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")).split(b":")[1])
-                            digest = fields["warc-payload-digest"].removeprefix("sha1:")
-                            if fields["warc-type"] == "response" and (len(payload) != size or payload_digest(payload) != digest):
-                                raise ValueError(f"{archive}: the payload at {at['offset']} is not what its head says")
-                            rows.append((number(fields["warc-record-id"]), size, digest, fields["warc-type"], number(fields.get("warc-refers-to"))))
-                        if len(rows) > 5000:
-                            yield pack(rows)
-                            rows = []
-                if rows:
+    def run(item: tuple[str, str]) -> Iterator[pa.RecordBatch]:
+        archive, index = item
+        rows = []
+        with reading(index) as side, reading(archive) as f:
+            lines, tail = _read_chunks(side), b""
+            for data in lines:
+                *whole, tail = (tail + data).split(b"\n")
+                for line in whole:
+                    at = json.loads(line)
+                    fields, block = read_record(f, at["offset"], at["length"])
+                    http, _, payload = block.partition(b"\r\n\r\n")
+                    size = int(next(x for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")).split(b":")[1])
+                    digest = fields["warc-payload-digest"].removeprefix("sha1:")
+                    if fields["warc-type"] == "response" and (len(payload) != size or payload_digest(payload) != digest):
+                        raise ValueError(f"{archive}: the payload at {at['offset']} is not what its head says")
+                    rows.append((number(fields["warc-record-id"]), size, digest, fields["warc-type"], number(fields.get("warc-refers-to"))))
+                if len(rows) > 5000:
                     yield pack(rows)
+                    rows = []
+        if rows:
+            yield pack(rows)
 
     def pack(rows: list[tuple]) -> pa.RecordBatch:
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    listed = spark.createDataFrame(files, "archive string, index string")
-    return listed.repartition(max(1, len(files)), "archive").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return each_item(spark, files, run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0) -> list[tuple[str, str]]:
