@@ -1,8 +1,8 @@
 """Intermediate tables in the folder that driver and executors share.
 
 ``spark.checkpoint.dir`` names that folder. Where it is unset (local tests)
-a temporary folder is made once per application, which is only right because
-driver and executors are then one process on one machine.
+a temporary folder is made once per application, which is only right where
+driver and executors are one process; with any other master it is an error.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     app = spark.sparkContext.applicationId
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         if app not in _LOCAL:
             _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="tidemark-")
             spark.sparkContext.setCheckpointDir(_LOCAL[app])
