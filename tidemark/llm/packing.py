@@ -27,7 +27,7 @@ from tidemark.storage import materialize
 
 CAPACITY, END_ID = 4096, 1
 #: Choices of each further length, tokens a pattern may leave free, and the fit's largest projected gradient, in pieces.
-PATTERNS_EACH, SLACK, TOLERANCE = 8, 8, 0.05
+PATTERNS_EACH, SLACK, TOLERANCE = 4, 8, 0.5
 
 
 def enumerate_patterns(hist: np.ndarray, capacity: int, each: int = PATTERNS_EACH, slack: int = SLACK) -> list[tuple[int, ...]]:
@@ -164,9 +164,24 @@ def pack_residuals(hist: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...
 
 
 def fill_patterns(hist: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths in a sequence, how many such sequences) from patterns alone."""
-    patterns = enumerate_patterns(hist, capacity)
-    return [(p, n) for p, n in zip(patterns, fit_repeats(hist, patterns)) if n]
+    """(lengths in a sequence, how many such sequences) from patterns alone.
+
+    Patterns are enumerated and fitted again to what the last fit's rounding
+    left, for as long as that places a hundredth of what was left.
+    """
+    left, out = hist.copy(), []
+    while left.any():
+        patterns = enumerate_patterns(left, capacity)
+        fills = [(p, n) for p, n in zip(patterns, fit_repeats(left, patterns)) if n]
+        placed = sum(len(p) * n for p, n in fills)
+        before = int(left.sum())
+        for p, n in fills:
+            for x in p:
+                left[x] -= n
+        out += fills
+        if 100 * placed < before:
+            break
+    return out
 
 
 def plan(hist: dict[int, int], capacity: int = CAPACITY) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
