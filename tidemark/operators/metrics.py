@@ -56,6 +56,33 @@ def binary_metrics(rows: DataFrame, threshold: float, *keys: str) -> DataFrame:
     return agg.select(*keys, "tp", "fp", "tn", "fn", p.alias("precision"), r.alias("recall"), safe_div(2 * p * r, p + r).alias("f1"), F.when(F.col("wneg") > 0, F.col("wfp") / F.col("wneg")).otherwise(float("nan")).alias("fpr"))
 
 
+def running_sums(at: DataFrame, order: str, sums: dict[str, str], keys: tuple[str, ...] = (), falling: bool = False, ranges: int = 64) -> DataFrame:
+    """at with running sums of columns along order, each row's own included; order has no repeats within keys.
+
+    Values are dealt in ranges at approximate quantiles, summed within their
+    range, and the totals of the ranges before, at most ``ranges`` rows a key,
+    are added; no task holds more than a range.
+    """
+    cuts = sorted(set(at.approxQuantile(order, [i / ranges for i in range(1, ranges)], 1 / (4 * ranges))))
+    array = F.lit(cuts) if cuts else F.array().cast("array<double>")
+    own = F.size(F.filter(array, lambda c: c < F.col(order)))
+    rows = at.withColumn("_range", own)
+    along = (lambda c: F.col(c).desc()) if falling else F.col
+    within = Window.partitionBy(*keys, "_range").orderBy(along(order)).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy(along("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
+    totals = totals.select(*keys, "_range", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums])
+    # ranges times keys rows; null keys are keys
+    r, t = rows.alias("r"), totals.alias("t")
+    same = F.col("r._range") == F.col("t._range")
+    for k in keys:
+        same = same & F.col(f"r.{k}").eqNullSafe(F.col(f"t.{k}"))
+    for n, c in sums.items():
+        r = r.withColumn(f"_w_{n}", F.sum(c).over(within))
+    joined = r.alias("r").join(t, same)
+    return joined.select(*[F.col(f"r.{c}") for c in at.columns], *[(F.col(f"r._w_{n}") + F.col(f"t._b_{n}")).alias(n) for n in sums])
+
+
 def _by_score(rows: DataFrame, *keys: str) -> DataFrame:
     """Positive and negative weight at each different score."""
     w = F.col("weight") if "weight" in rows.columns else F.lit(1.0)
@@ -63,28 +90,27 @@ def _by_score(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def average_precision(rows: DataFrame, *keys: str) -> DataFrame:
-    """Sum over falling different scores of precision times the rise in recall; running sums over one row a score."""
-    run = Window.partitionBy(*keys).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
-    at = _by_score(rows, *keys).withColumn("cp", F.sum("pos").over(run)).withColumn("cn", F.sum("neg").over(run)).withColumn("all_pos", F.sum("pos").over(whole))
-    return at.groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col("all_pos") > 0, F.col("pos") / F.col("all_pos") * F.col("cp") / (F.col("cp") + F.col("cn")))), F.lit(0.0)).alias("average_precision"))
+    """Sum over falling different scores of precision times the rise in recall."""
+    at = running_sums(_by_score(rows, *keys), "score", {"cp": "pos", "cn": "neg"}, keys, falling=True)
+    agg = at.groupBy(*keys).agg(F.sum(F.col("pos") * F.col("cp") / (F.col("cp") + F.col("cn"))).alias("s"), F.sum("pos").alias("p"))
+    return agg.select(*keys, F.when(F.col("p") > 0, F.col("s") / F.col("p")).otherwise(0.0).alias("average_precision"))
 
 
 def auroc(rows: DataFrame, *keys: str) -> DataFrame:
     """Area under the ROC curve with ties at half; NaN where a class is missing."""
-    run = Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
-    at = _by_score(rows, *keys).withColumn("below", F.sum("neg").over(run) - F.col("neg") / 2)
+    at = running_sums(_by_score(rows, *keys), "score", {"upto": "neg"}, keys).withColumn("below", F.col("upto") - F.col("neg") / 2)
     agg = at.groupBy(*keys).agg(F.sum(F.col("pos") * F.col("below")).alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return agg.select(*keys, F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("u") / (F.col("p") * F.col("n"))).otherwise(float("nan")).alias("auroc"))
 
 
 def _nth(rows: DataFrame, q: float, rule: str) -> DataFrame:
     """(value,): the q-quantile of score by the 'higher' or 'lower' rule, from counts of different scores."""
-    run = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
-    at = rows.groupBy("score").count().withColumn("upto", F.sum("count").over(run)).withColumn("n", F.sum("count").over(Window.partitionBy()))
+    per = rows.groupBy("score").count()
+    n = per.agg(F.sum("count").alias("n"))
     place = F.round((F.col("n") - 1) * F.lit(float(q)), 9)
     k = (F.ceil(place) if rule == "higher" else F.floor(place)) + 1
-    return at.where(F.col("upto") >= k).agg(F.min("score").alias("value"))
+    # one row meets every score
+    return running_sums(per, "score", {"upto": "count"}).join(F.broadcast(n.select(k.alias("k")))).where(F.col("upto") >= F.col("k")).agg(F.min("score").alias("value"))
 
 
 def recall_at_fpr(rows: DataFrame, budget: float) -> DataFrame:
@@ -108,12 +134,11 @@ def thresholds(rows: DataFrame, budget: float, recall: float, group: str) -> Dat
 def conformal_p(scored: DataFrame, calibration: DataFrame) -> DataFrame:
     """scored with p_value = (1 + calibration scores at or above) / (n + 1).
 
-    Counts per different score of both, then one running sum over the scores.
+    Counts per different score of both, then running sums over the scores in ranges.
     """
     both = calibration.groupBy("score").agg(F.count("*").alias("n")).unionByName(scored.select("score").distinct().withColumn("n", F.lit(0).cast("long")))
-    at = both.groupBy("score").agg(F.sum("n").alias("n"))
-    above = F.sum("n").over(Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0))
-    at = at.withColumn("above", above).withColumn("all", F.sum("n").over(Window.partitionBy()))
+    at = running_sums(both.groupBy("score").agg(F.sum("n").alias("n")), "score", {"above": "n"}, falling=True)
+    at = at.join(F.broadcast(calibration.agg(F.count("*").alias("all"))))  # one row
     return scored.join(at.select("score", ((F.col("above") + 1) / (F.col("all") + 1)).alias("p_value")), "score")
 
 

@@ -112,14 +112,14 @@ def html_visible_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", markup.visible_text(h).alias("visible"), scripts.alias("script_hashes"))
 
 
-_TOK = """WITH tk AS (SELECT DISTINCT source AS family, doc_id AS sample, t AS token FROM (SELECT source, doc_id, unnest(list_distinct(string_split_regex(lower(text), '[\\x20\\x09-\\x0D]+'))) AS t FROM documents) WHERE length(t) >= 9)"""
+_TOK = """WITH tk AS (SELECT DISTINCT source AS family, doc_id AS sample, t AS token FROM (SELECT source, doc_id, unnest(list_distinct(string_split_regex(lower(text), '[\\x20\\x09-\\x0D]+'))) AS t FROM documents) WHERE length(t) >= 3)"""
 
 
 def _tokens(spark, sf_dir):
-    """Distinct words of nine letters or more of each document; a family is a source."""
+    """Distinct words of three characters or more of each document, as the inventory's body tokens; a family is a source."""
     d = table(spark, sf_dir, "documents")
     words = F.array_distinct(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"))
-    return d.select(F.col("source").alias("family"), F.col("doc_id").alias("sample"), F.explode(words).alias("token")).where(F.length("token") >= 9)
+    return d.select(F.col("source").alias("family"), F.col("doc_id").alias("sample"), F.explode(words).alias("token")).where(F.length("token") >= 3)
 
 
 @query(" SELECT token, count(DISTINCT family) AS df FROM tk GROUP BY 1", _TOK)
@@ -191,10 +191,12 @@ def nearest_prototype(spark, sf_dir):
     return rounded(vectors.nearest_prototype(table(spark, sf_dir, "embeddings"), _long(spark, sf_dir), "vec_id", "embedding"))
 
 
-@query(" SELECT q.vec_id AS id, round(list_sort(list(sqrt(list_sum(list_transform(list_zip(q.embedding, r.embedding), lambda p: pow(p[1]::DOUBLE - p[2]::DOUBLE, 2))))))[5], 6) AS distance FROM embeddings q, (SELECT embedding FROM embeddings WHERE vec_id < 100) r GROUP BY 1")
+@query(" SELECT q.vec_id AS id, round(list_sort(list(sqrt(list_sum(list_transform(list_zip(q.embedding, r.embedding), lambda p: pow(p[1]::DOUBLE - p[2]::DOUBLE, 2))))))[10], 6) AS distance FROM embeddings q, (SELECT embedding FROM embeddings ORDER BY md5(vec_id::VARCHAR), vec_id LIMIT 200) r GROUP BY 1")
 def knn_gate(spark, sf_dir):
+    """Distance to the 10th nearest of 200 references, drawn by hash from the whole table."""
     e = table(spark, sf_dir, "embeddings")
-    return rounded(vectors.kth_distance(e, e.where("vec_id < 100"), "vec_id", "embedding", 5))
+    drawn = e.withColumn("h", F.md5(F.col("vec_id").cast("string").cast("binary"))).orderBy("h", "vec_id").limit(200).drop("h")
+    return rounded(vectors.kth_distance(e, drawn, "vec_id", "embedding", 10))
 
 
 @query(" SELECT doc_id, ((row_number() OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR), doc_id) - 1) % 5)::INT AS fold FROM documents")
