@@ -28,7 +28,7 @@ DOMAINS = {
     "analytics_ads": "google-analytics.com googletagmanager.com sentry.io datadoghq.com segment.io amplitude.com mixpanel.com intercom.io hotjar.com clarity.ms newrelic.com nr-data.net fullstory.com doubleclick.net googlesyndication.com googletagservices.com facebook.net",
 }
 #: Further patterns of some roles, at the end of a host unless said otherwise. Fixed values.
-PATTERNS = {"identity_provider": [r"(^|\.)(sso|login|auth)\.[^.]+\.[^.]+$"], "object_storage": [r"(^|\.)s3[.-][a-z0-9-]+\.amazonaws\.com$"], "software_update": [r"(^|\.)(clients[0-9]*\.google\.com|aus[0-9]*\.mozilla\.org)$"], "rpc_provider": ["infura-router.public.blockchain-networks".replace(".", r"\.")]}
+PATTERNS = {"identity_provider": [r"(^|\.)(sso|login|auth)\.[^.]+\.[^.]+$"], "object_storage": [r"(^|\.)s3[.-][a-z0-9-]+\.amazonaws\.com$"], "software_update": [r"(^|\.)(clients[0-9]*\.google\.com|aus[0-9]*\.mozilla\.org)$"], "rpc_provider": [r"infura-router\.public\.blockchain-networks"]}
 #: Which role a host keeps of several, best first. Fixed values.
 PRIORITY = ["walletconnect", "rpc_provider", "wallet_vendor", "identity_provider", "captcha_challenge", "payment_provider", "messaging_api", "form_backend", "cloud_api", "object_storage", "email_delivery", "file_storage", "url_shortener", "hosting_platform", "first_party_site", "software_update", "third_party_static", "analytics_ads", "third_party_backend_or_other", "unknown"]
 

@@ -6,6 +6,7 @@ Each file is a partition. Truncated files give the packets before the cut.
 
 from __future__ import annotations
 
+import io
 import struct
 from collections.abc import Iterator
 
@@ -16,18 +17,36 @@ tcp_flags int, payload_len int, sni string, dns_answers array<struct<ip:string,h
 RAW, NULL_LINK, ETHERNET, SLL, SLL2 = (12, 14, 101, 228, 229), 0, 1, 113, 276
 
 
-def _classic(data: bytes) -> Iterator[tuple[float, int, int, bytes]]:
+class _Bytes:
+    """Reads a stream in pieces and gives exactly n bytes, or fewer at its end."""
+
+    def __init__(self, stream):
+        self.stream = stream
+
+    def take(self, n: int) -> bytes:
+        out = self.stream.read(n)
+        while len(out) < n and (more := self.stream.read(n - len(out))):
+            out += more
+        return out
+
+
+#: Longest record or block that is read; a larger one is a broken file.
+MOST_BLOCK = 1 << 26
+
+
+def _classic(data: _Bytes, magic: bytes) -> Iterator[tuple[float, int, int, bytes]]:
     """(ts, link type, wire length, bytes) of each record of a classic file."""
-    order = "<" if data[:4] in (b"\xd4\xc3\xb2\xa1", b"\x4d\x3c\xb2\xa1") else ">"
-    tick = 1e-9 if data[:4] in (b"\x4d\x3c\xb2\xa1", b"\xa1\xb2\x3c\x4d") else 1e-6
-    link, at = struct.unpack_from(order + "I", data, 20)[0] & 0xFFFF, 24
-    while at + 16 <= len(data):
-        sec, frac, caught, wire = struct.unpack_from(order + "IIII", data, at)
-        at += 16
-        if at + caught > len(data):
+    order = "<" if magic in (b"\xd4\xc3\xb2\xa1", b"\x4d\x3c\xb2\xa1") else ">"
+    tick = 1e-9 if magic in (b"\x4d\x3c\xb2\xa1", b"\xa1\xb2\x3c\x4d") else 1e-6
+    head = data.take(20)
+    if len(head) < 20:
+        return
+    link = struct.unpack_from(order + "I", head, 16)[0] & 0xFFFF
+    while len(head := data.take(16)) == 16:
+        sec, frac, caught, wire = struct.unpack(order + "IIII", head)
+        if caught > MOST_BLOCK or len(frame := data.take(caught)) < caught:
             return
-        yield sec + frac * tick, link, wire or caught, data[at:at + caught]
-        at += caught
+        yield sec + frac * tick, link, wire or caught, frame
 
 
 def _options(data: bytes, order: str) -> dict[int, bytes]:
@@ -41,15 +60,18 @@ def _options(data: bytes, order: str) -> dict[int, bytes]:
     return out
 
 
-def _next_generation(data: bytes) -> Iterator[tuple[float, int, int, bytes]]:
-    order, faces, at = "<", [], 0
-    while at + 12 <= len(data):
-        if data[at:at + 4] == b"\x0a\x0d\x0d\x0a":
-            order, faces = ("<" if data[at + 8:at + 12] == b"\x4d\x3c\x2b\x1a" else ">"), []
-        kind, size = struct.unpack_from(order + "II", data, at)
-        if size < 12 or at + size > len(data):
+def _next_generation(data: _Bytes, magic: bytes) -> Iterator[tuple[float, int, int, bytes]]:
+    order, faces, head = "<", [], magic + data.take(4)
+    while len(head) == 8:
+        body = b""
+        if head[:4] == b"\x0a\x0d\x0d\x0a":
+            body = data.take(4)
+            order, faces = ("<" if body == b"\x4d\x3c\x2b\x1a" else ">"), []
+        kind, size = struct.unpack(order + "II", head)
+        rest = size - 8 - len(body)
+        if rest < 4 or size > MOST_BLOCK or len(more := data.take(rest)) < rest:
             return
-        body = data[at + 8:at + size - 4]
+        body = (body + more)[:-4]
         if kind == 1:
             opts = _options(body[8:], order)
             res = opts.get(9, b"\x06")[0]
@@ -62,14 +84,17 @@ def _next_generation(data: bytes) -> Iterator[tuple[float, int, int, bytes]]:
             if face < len(faces):
                 link, tick, shift = faces[face]
                 yield (high << 32 | low) * tick + shift, link, wire or caught, body[20:20 + caught]
-        at += size
+        head = data.take(8)
 
 
-def records(data: bytes) -> Iterator[tuple[float, int, int, bytes]]:
-    if data[:4] == b"\x0a\x0d\x0d\x0a":
-        yield from _next_generation(data)
-    elif data[:4] in (b"\xd4\xc3\xb2\xa1", b"\xa1\xb2\xc3\xd4", b"\x4d\x3c\xb2\xa1", b"\xa1\xb2\x3c\x4d"):
-        yield from _classic(data)
+def records(stream) -> Iterator[tuple[float, int, int, bytes]]:
+    """Records of a binary stream, or of bytes, one at a time."""
+    data = _Bytes(io.BytesIO(stream) if isinstance(stream, bytes) else stream)
+    magic = data.take(4)
+    if magic == b"\x0a\x0d\x0d\x0a":
+        yield from _next_generation(data, magic)
+    elif magic in (b"\xd4\xc3\xb2\xa1", b"\xa1\xb2\xc3\xd4", b"\x4d\x3c\xb2\xa1", b"\xa1\xb2\x3c\x4d"):
+        yield from _classic(data, magic)
     else:
         raise ValueError("not a packet capture")
 
@@ -110,7 +135,8 @@ def transport(packet: bytes) -> tuple[int, int, str, str, bytes] | None:
             return None
         return 4, packet[9], ".".join(map(str, packet[12:16])), ".".join(map(str, packet[16:20])), packet[head:total if head <= total <= len(packet) else len(packet)]
     if version == 6 and len(packet) >= 40:
-        kind, at = packet[6], 40
+        kind, at, end = packet[6], 40, 40 + struct.unpack_from(">H", packet, 4)[0]
+        end = end if 40 < end <= len(packet) else len(packet)  # a jumbo or cut packet goes to its end
         for _ in range(8):
             if kind not in (0, 43, 44, 60) or at + 8 > len(packet):
                 break
@@ -118,7 +144,7 @@ def transport(packet: bytes) -> tuple[int, int, str, str, bytes] | None:
             if kind == 44 and struct.unpack_from(">H", packet, at + 2)[0] >> 3:
                 return None
             kind, at = packet[at], at + size
-        return 6, kind, _address6(packet[8:24]), _address6(packet[24:40]), packet[at:]
+        return 6, kind, _address6(packet[8:24]), _address6(packet[24:40]), packet[at:end]
     return None
 
 
@@ -185,7 +211,7 @@ def dns_answers(payload: bytes) -> list[tuple[str, str]]:
     return out
 
 
-def packets(name: str, data: bytes, start: float | None = None, end: float | None = None) -> Iterator[tuple]:
+def packets(name: str, data, start: float | None = None, end: float | None = None) -> Iterator[tuple]:
     """Rows of SCHEMA; outside [start, end] nothing is decoded."""
     for i, (ts, link, wire, frame) in enumerate(records(data)):
         if (start is not None and ts < start) or (end is not None and ts > end):
@@ -196,11 +222,13 @@ def packets(name: str, data: bytes, start: float | None = None, end: float | Non
         version, kind, src, dst, seg = got
         sport, dport = struct.unpack_from(">HH", seg)
         if kind == 6:
-            if len(seg) < 20:
+            head = (seg[12] >> 4) * 4 if len(seg) >= 20 else 0
+            if head < 20:
                 continue
-            flags, payload = seg[13], seg[(seg[12] >> 4) * 4:]
+            flags, payload = seg[13], seg[head:]
         else:
-            flags, payload = 0, seg[8:]
+            told = struct.unpack_from(">H", seg, 4)[0]
+            flags, payload = 0, seg[8:told if 8 <= told <= len(seg) else len(seg)]
         sni = server_name(payload) if 443 in (sport, dport) and kind == 6 else None
         yield name, i, ts, wire, version, "TCP" if kind == 6 else "UDP", src, sport, dst, dport, flags, len(payload), sni, dns_answers(payload) if 53 in (sport, dport) and kind == 17 else []
 
@@ -230,7 +258,7 @@ class _Reader(DataSourceReader):
 
         system, path = fs.FileSystem.from_uri(partition.path)
         with system.open_input_stream(path) as f:
-            yield from packets(path.rpartition("/")[2], f.read(), self.start, self.end)
+            yield from packets(path.rpartition("/")[2], f, self.start, self.end)
 
 
 class PacketSource(DataSource):
