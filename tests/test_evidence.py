@@ -31,9 +31,9 @@ def test_endpoints(spark, url, want):
 
 def test_markup(spark):
     page = "<title>T</title><style>a{}</style><p>Pay 12.50 to 0x" + "A" * 40 + " &amp; go</p><script>if (a<b) x('y')</script> 3 < 4 é $5"
-    assert one(spark, page, markup.visible_text) == "t pay num to addr go num num num".replace("num num num", "num num $ num") or "addr go" in one(spark, page, markup.visible_text)
+    assert one(spark, page, markup.visible_text) == "t pay num to addr go num num $ num"
     script = "/* c\nc */ var a = 'some text'; // note\nfetch(\"https://h/x\") + 12.5; b = 'http://u'"
-    assert one(spark, script, markup.normalize_script) == "var a = STR ; fetch(\" URL \") + NUM ; b = ' URL '" or "STR" in one(spark, script, markup.normalize_script)
+    assert one(spark, script, markup.normalize_script) == "var a = STR ; fetch( STR ) + NUM ; b = STR"
     assert one(spark, "a /* open", markup.without_comments) == "a /* open" and one(spark, "http://x // y", markup.without_comments) == "http://x  "
     assert one(spark, "a < b <i>c</i>", markup.without_tags).split() == ["a", "b", "c"]
 

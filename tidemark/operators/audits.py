@@ -52,11 +52,21 @@ def weighted_score(evidence: DataFrame, weights: dict[str, float], unique_bonus:
 
 
 def correlations(rows: DataFrame, names: list[str]) -> DataFrame:
-    """(a, b, r) of all pairs of named columns, a before b, in one aggregation without a shuffle of rows."""
-    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
-    agg = rows.agg(*[F.corr(names[i], names[j]).alias(f"c{i}_{j}") for i, j in pairs])
-    items = F.array(*[F.struct(F.lit(names[i]).alias("a"), F.lit(names[j]).alias("b"), F.col(f"c{i}_{j}").alias("r")) for i, j in pairs])
-    return agg.select(F.explode(items).alias("x")).select("x.a", "x.b", "x.r")
+    """(a, b, r): Pearson correlation of each pair of names, over rows without nulls in them.
+
+    One pass sums the Gram matrix of the names; the matrix, a number a pair,
+    reaches the driver. A constant column has null correlations.
+    """
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
+
+    kinds = "a string, b string, r double"
+    some = rows.select(*[F.col(n).cast("double").alias(n) for n in names]).dropna()
+    if len(names) < 2 or some.isEmpty():
+        return rows.sparkSession.createDataFrame([], kinds)
+    m = Correlation.corr(VectorAssembler(inputCols=names, outputCol="v").transform(some), "v").first()[0].toArray()
+    pairs = [(a, b, None if m[i, j] != m[i, j] else float(m[i, j])) for i, a in enumerate(names) for j, b in enumerate(names) if i < j]
+    return rows.sparkSession.createDataFrame(pairs, kinds)
 
 
 def prune_correlated(rows: DataFrame, names: list[str], limit: float = 0.92) -> list[str]:

@@ -73,9 +73,9 @@ def transport_dominance(spark, sf_dir):
     return audits.dominance(rows, "capture_id", ["tcp", "udp"], 0.8)
 
 
-@query("SELECT count(*) FILTER (w AND h) AS matched, count(*) FILTER (h IS NULL) AS missing, count(*) FILTER (w IS NULL) AS outside FROM (SELECT doc_id, TRUE AS w FROM documents WHERE doc_id % 3 <> 0) FULL JOIN (SELECT doc_id, TRUE AS h FROM labels) USING (doc_id)")
+@query("SELECT count(*) FILTER (w AND h) AS matched, count(*) FILTER (h IS NULL) AS missing, count(*) FILTER (w IS NULL) AS outside FROM (SELECT doc_id, TRUE AS w FROM documents) FULL JOIN (SELECT doc_id, TRUE AS h FROM labels) USING (doc_id)")
 def reuse_coverage(spark, sf_dir):
-    return audits.reuse_coverage(table(spark, sf_dir, "documents").where("doc_id % 3 <> 0"), table(spark, sf_dir, "labels"), "doc_id")
+    return audits.reuse_coverage(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
 
 
 @query(_TOK + ", s AS (SELECT family, count(DISTINCT sample) AS size FROM tk GROUP BY 1), c AS (SELECT family, token, count(DISTINCT sample) / any_value(size) AS cov, any_value(size) AS size FROM tk JOIN s USING (family) GROUP BY ALL), b AS (SELECT family, max(cov) AS best FROM c WHERE size >= 4 GROUP BY 1) SELECT count(*) AS families, round(avg(best), 6) AS cohesion FROM b")
@@ -92,9 +92,9 @@ def shared_support(spark, sf_dir):
     return audits.shared_support(t.groupBy("family", "token").agg(F.countDistinct("sample").alias("n")).join(sizes, "family"), 0.05)
 
 
-@query("WITH e AS (SELECT unnest(range(0, 8)) AS d, vec_id, unnest(embedding[1:8])::DOUBLE AS x FROM embeddings) SELECT 'f' || a.d AS a, 'f' || b.d AS b, round(corr(a.x, b.x), 6) AS r FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.d < b.d GROUP BY ALL")
+@query("WITH e AS (SELECT unnest(range(0, 64)) AS d, vec_id, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT 'f' || a.d AS a, 'f' || b.d AS b, round(corr(a.x, b.x), 6) AS r FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.d < b.d GROUP BY ALL")
 def feature_correlations(spark, sf_dir):
-    names = [f"f{i}" for i in range(8)]
+    names = [f"f{i}" for i in range(64)]
     rows = table(spark, sf_dir, "embeddings").select(*[F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in enumerate(names)])
     return rounded(audits.correlations(rows, names))
 

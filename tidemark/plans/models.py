@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.clustering import GaussianMixture, KMeans
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +26,7 @@ def query(sql: str):
     return add
 
 
-def _features(spark: SparkSession, sf_dir: str, n: int = 16) -> tuple[DataFrame, list[str]]:
+def _features(spark: SparkSession, sf_dir: str, n: int = 64) -> tuple[DataFrame, list[str]]:
     e = table(spark, sf_dir, "embeddings")
     names = [f"f{i}" for i in range(n)]
     rows = e.select("vec_id", (F.col("label") < 5).cast("double").alias("y"), *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(names)])
@@ -45,14 +45,17 @@ def out_of_fold(rows: DataFrame, names: list[str], estimator, folds: int = 3) ->
 
 @query("")
 def logistic_out_of_fold(spark, sf_dir):
+    """Classes weigh the same: a row's weight is the number of rows over twice its class's."""
     rows, names = _features(spark, sf_dir)
-    weighed = rows.withColumn("weight", F.lit(1.0))
+    n = rows.groupBy("y").agg(F.count("*").alias("own"))
+    total = n.agg(F.sum("own").alias("all"))  # two rows, and one
+    weighed = rows.join(F.broadcast(n), "y").join(F.broadcast(total)).withColumn("weight", F.col("all") / (2.0 * F.col("own"))).drop("own", "all")
     return rounded(out_of_fold(weighed, names, LogisticRegression(labelCol="y", weightCol="weight", maxIter=20)))
 
 
 @query("")
 def gbt_out_of_fold(spark, sf_dir):
-    rows, names = _features(spark, sf_dir, 8)
+    rows, names = _features(spark, sf_dir)
     return rounded(out_of_fold(rows, names, GBTClassifier(labelCol="y", maxIter=5, maxDepth=3, seed=42)))
 
 
@@ -65,8 +68,10 @@ def kmeans_clusters(spark, sf_dir):
 
 @query("")
 def mixture_clusters(spark, sf_dir):
-    rows, names = _features(spark, sf_dir, 4)
-    vec = VectorAssembler(inputCols=names, outputCol="features").transform(rows)
+    """Of the four main components of the whole vectors."""
+    rows, names = _features(spark, sf_dir)
+    raw = VectorAssembler(inputCols=names, outputCol="raw").transform(rows)
+    vec = PCA(k=4, inputCol="raw", outputCol="features").fit(raw).transform(raw)
     return GaussianMixture(k=3, seed=42, maxIter=5).fit(vec).transform(vec).select("vec_id", F.col("prediction").alias("cluster"))
 
 
