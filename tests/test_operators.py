@@ -1,6 +1,8 @@
 """Small hand-made cases: ties, equal gaps, empty inputs, and the published smoke numbers."""
 
+import math
 import random
+import statistics
 import struct
 
 import pytest
@@ -252,3 +254,34 @@ def test_clusters_presets_and_sinks(spark, tmp_path):
     assert sinks.merged_config({"a": {"b": 1, "c": 2}}, {"a": {"b": 3}}) == {"a": {"b": 3, "c": 2}}
     assert sinks.run_contract({"x": 1}, {"t": df})["fingerprint"] == sinks.run_contract({"x": 1}, {"t": df})["fingerprint"]
     assert "| rpc_n |" in sinks.markdown(df.select("rpc_n"))
+
+
+def test_scans_carry_state_over_batches_nulls_and_no_rows(spark):
+    """Admissions and running medians against plain loops, in Arrow batches of seven rows; a null key is a key, a null score the lowest."""
+    rng = random.Random(11)
+    schema = "session_id long, candidate_id long, ts double, score double"
+    rows = [(rng.choice([1, 2, None]), i, float(rng.randrange(30)), rng.choice([None, 0.1, 0.2, 0.3, 0.4])) for i in range(150)]
+    df = spark.createDataFrame(rows, schema)
+    assert replay.ever_admitted(df.limit(0), 3).count() == 0 and replay.diverse_rank(df.limit(0), 3.0).count() == 0
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {(r.session_id, r.candidate_id): r.admitted for r in replay.ever_admitted(df, 3).collect()}
+        merged = {(r.session_id, r.ts): r.merged for r in replay.merge_boundaries(df, 4.0).collect()}
+        packets = spark.createDataFrame([(s or 0, i, t, i % 7, 0) for s, i, t, _ in rows], "capture_id long, event_id long, ts double, length long, payload_len long")
+        med = {(r.capture_id, r.event_id): r.running_median for r in ordered.shape_rows(packets).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    want, bounds, mids = {}, {}, {}
+    for s in {r[0] for r in rows}:
+        before, first, sizes = [], None, []
+        for _, i, t, x in sorted((r for r in rows if r[0] == s), key=lambda r: (r[2], r[1])):
+            x = float("-inf") if x is None else x
+            want[s, i] = sum(b >= x for b in before) < 3
+            before.append(x)
+            first = t if first is None or t - first > 4.0 else first
+            bounds[s, first] = bounds.get((s, first), 0) + 1
+            sizes.append(math.log1p(i % 7))
+            mids[s or 0, i] = statistics.median(sizes)
+    assert got == want and merged == bounds
+    assert med.keys() == mids.keys() and all(abs(med[k] - mids[k]) < 1e-9 for k in mids)

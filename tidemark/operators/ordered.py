@@ -6,10 +6,13 @@ breaks ties of ts. Every window is partitioned by capture or flow.
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import clamp
+from tidemark.operators.scan import Scan, ordered_scan
 
 
 def by_time(*keys: str):
@@ -30,23 +33,50 @@ def bursts(packets: DataFrame, gap_s: float, *keys: str) -> DataFrame:
         F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("n_pkts"), F.sum("length").cast("long").alias("bytes_total"))
 
 
+def _sized(packets: DataFrame) -> DataFrame:
+    """packets with log_len, the log of the payload's length or else the packet's, and iat, the gap to the packet before, 0 at the start."""
+    size = F.when(F.col("payload_len") > 0, F.col("payload_len")).otherwise(F.col("length"))
+    gap = F.coalesce(F.col("ts") - F.lag("ts").over(by_time()), F.lit(0.0))
+    return packets.withColumn("log_len", F.log1p(size.cast("double"))).withColumn("iat", F.greatest(F.lit(0.0), gap))
+
+
+_SHAPE = ["event_id", "log_len", "diff", "iat", "rel_iat", "rel_time"]
+
+
+class _Median(Scan):
+    """The lower half of the values so far as a heap of negatives, the upper half as a heap."""
+
+    def __init__(self):
+        self.low, self.high = [], []
+
+    def step(self, event_id, x, *rest):
+        if x is not None:
+            heapq.heappush(self.high, -heapq.heappushpop(self.low, -x))
+            if len(self.high) > len(self.low):
+                heapq.heappush(self.low, -heapq.heappop(self.high))
+        if not self.low:
+            med = None
+        else:
+            med = -self.low[0] if len(self.low) > len(self.high) else (self.high[0] - self.low[0]) / 2
+        return ((event_id, x, *rest, med),)
+
+
 def shape_rows(packets: DataFrame) -> DataFrame:
     """Per packet: log length, its running median and offset, first difference, clipped inter-arrival time and its scale, relative time.
 
     Length is the payload where there is one. Times count from the capture's
     first packet; the scale is the median positive gap, 1 where there is none.
+    The running median is a scan with two heaps, a logarithmic step a packet;
+    its state is the lengths of one capture.
     """
     whole = Window.partitionBy("capture_id")
-    size = F.when(F.col("payload_len") > 0, F.col("payload_len")).otherwise(F.col("length"))
-    rows = packets.withColumn("log_len", F.log1p(size.cast("double"))).withColumn("start", F.min("ts").over(whole)).withColumn("dur", F.max("ts").over(whole) - F.col("start"))
-    w = by_time()
-    rows = rows.withColumn("med", F.percentile("log_len", F.lit(0.5)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("diff", F.col("log_len") - F.lag("log_len").over(w)).withColumn("diff", F.coalesce("diff", F.lit(0.0)))
-    rows = rows.withColumn("iat", F.greatest(F.lit(0.0), F.col("ts") - F.coalesce(F.lag("ts").over(w), F.col("start"))))
+    rows = _sized(packets).withColumn("start", F.min("ts").over(whole)).withColumn("dur", F.max("ts").over(whole) - F.col("start"))
+    rows = rows.withColumn("diff", F.coalesce(F.col("log_len") - F.lag("log_len").over(by_time()), F.lit(0.0)))
     scale = F.coalesce(F.percentile(F.when(F.col("iat") > 1e-6, F.col("iat")), F.lit(0.5)).over(whole), F.lit(1.0))
-    return rows.withColumn("scale", scale).select(
-        "capture_id", "event_id", "log_len", F.col("med").alias("running_median"), (F.col("log_len") - F.col("med")).alias("offset"), "diff", "iat",
-        clamp(F.col("iat") / F.col("scale"), 0, 20).alias("rel_iat"), clamp((F.col("ts") - F.col("start")) / F.greatest(F.col("dur"), F.lit(1e-6)), 0, 1).alias("rel_time"))
+    rows = rows.withColumn("rel_iat", clamp(F.col("iat") / scale, 0, 20)).withColumn("rel_time", clamp((F.col("ts") - F.col("start")) / F.greatest(F.col("dur"), F.lit(1e-6)), 0, 1))
+    doubles = ", ".join(f"{c} double" for c in [*_SHAPE[1:], "running_median"])
+    out = ordered_scan(rows, "capture_id", _SHAPE, ["ts", "event_id"], _Median, f"event_id long, {doubles}")
+    return out.withColumn("offset", F.col("log_len") - F.col("running_median"))
 
 
 def direction_code(direction: Column) -> Column:
@@ -73,7 +103,7 @@ def prefix_pivot(packets: DataFrame, n: int, value: str = "length") -> DataFrame
 
 def length_gap_correlation(packets: DataFrame) -> DataFrame:
     """Per capture the correlation of log length and gap; 0 with fewer than 3 rows or no spread."""
-    rows = shape_rows(packets)
+    rows = _sized(packets)
     r = F.corr("log_len", "iat")
     ok = (F.count("*") >= 3) & (F.stddev_pop("log_len") > 1e-9) & (F.stddev_pop("iat") > 1e-9)
     return rows.groupBy("capture_id").agg(F.when(ok, r).otherwise(0.0).alias("len_iat_corr"))
@@ -89,21 +119,24 @@ def reactivations(packets: DataFrame, key: str, quiet_s: float) -> DataFrame:
     return packets.withColumn("gap", gap).where(F.col("gap").isNull() | (F.col("gap") >= quiet_s)).select("capture_id", key, "event_id", "ts", F.col("gap").isNotNull().alias("again"))
 
 
+class _Kept(Scan):
+    def __init__(self, merge_s: float, top_k: int):
+        self.merge_s, self.top_k, self.times = merge_s, top_k, []
+
+    def step(self, event_id, ts, score):
+        if len(self.times) >= self.top_k or any(abs(t - ts) <= self.merge_s for t in self.times):
+            return ()
+        self.times.append(ts)
+        return ((len(self.times), event_id, ts, score),)
+
+
 def suppress_near(candidates: DataFrame, merge_s: float, top_k: int) -> DataFrame:
     """Greedy suppression: by falling score, then time, a candidate is kept if no kept one is within merge_s; at most top_k, ranked from 1.
 
-    A fold over each capture's sorted candidates, with what is kept (top_k at
-    most) as its state.
+    A scan of each capture's candidates in that order (null scores last), with
+    the times kept, top_k at most, as its state.
     """
-    kept = "array<struct<s:double,t:double,id:bigint>>"
-    rows = candidates.groupBy("capture_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("ts").alias("t"), F.col("event_id").alias("id")))).alias("c"))
-
-    def step(acc: Column, x: Column) -> Column:
-        near = F.exists(acc, lambda k: F.abs(k["t"] - x["t"]) <= merge_s)
-        return F.when(near | (F.size(acc) >= top_k), acc).otherwise(F.concat(acc, F.array(x)))
-
-    out = rows.select("capture_id", F.posexplode(F.aggregate("c", F.array().cast(kept), step)).alias("i", "k"))
-    return out.select("capture_id", (F.col("i") + 1).cast("long").alias("rank"), F.col("k.id").alias("event_id"), F.col("k.t").alias("ts"), (-F.col("k.s")).alias("score"))
+    return ordered_scan(candidates, "capture_id", ["event_id", "ts", "score"], [-F.col("score"), "ts", "event_id"], lambda: _Kept(merge_s, top_k), "rank long, event_id long, ts double, score double")
 
 
 def fanout(packets: DataFrame, window_s: float, least_flows: int) -> DataFrame:

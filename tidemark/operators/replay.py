@@ -1,68 +1,114 @@
-"""Order-dependent replays of scored candidates as folds over sorted arrays."""
+"""Order-dependent replays of scored candidates. A null score counts as lower than every score."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import bisect
+import heapq
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_KEPT = "array<double>"
+from tidemark.operators.scan import Scan, ordered_scan
+
+_ARRIVAL = ["ts", "candidate_id", "score"]
+
+
+def _low(score: float | None) -> float:
+    return -math.inf if score is None else score
+
 
+class _Admitted(Scan):
+    def __init__(self, k: int):
+        self.k, self.best = k, []
 
-def _events(rows: DataFrame, session: str) -> DataFrame:
-    return rows.groupBy(session).agg(F.array_sort(F.collect_list(F.struct(F.col("ts").alias("t"), F.col("candidate_id").alias("id"), F.col("score").alias("s")))).alias("e"))
+    def step(self, ident, score):
+        took, score = len(self.best) < self.k, _low(score)
+        if took:
+            heapq.heappush(self.best, score)
+        elif self.k and self.best[0] < score:
+            took = True
+            heapq.heapreplace(self.best, score)
+        return ((ident, took),)
 
 
 def ever_admitted(rows: DataFrame, k: int, session: str = "session_id") -> DataFrame:
-    """(session, candidate_id, admitted): whether fewer than k earlier arrivals had a score as high, so that a heap of the k best took it."""
-    def step(acc: Column, x: Column) -> Column:
-        ahead = F.size(F.filter(acc["best"], lambda b: b >= x["s"]))
-        took = ahead < k
-        best = F.slice(F.sort_array(F.concat(acc["best"], F.array(x["s"])), asc=False), 1, k)
-        return F.struct(best.alias("best"), F.concat(acc["out"], F.array(F.struct(x["id"].alias("id"), took.alias("took")))).alias("out"))
+    """(session, candidate_id, admitted): whether fewer than k earlier arrivals had a score as high, so that a heap of the k best took it.
+
+    The state is that heap.
+    """
+    return ordered_scan(rows, session, ["candidate_id", "score"], _ARRIVAL, lambda: _Admitted(k), "candidate_id long, admitted boolean")
+
+
+class _Alert(Scan):
+    def __init__(self, k: int, threshold: float):
+        self.k, self.threshold, self.best, self.peak, self.at = min(k, 2), threshold, [], -1.0, None
 
-    start = F.struct(F.array().cast(_KEPT).alias("best"), F.array().cast("array<struct<id:bigint,took:boolean>>").alias("out"))
-    return _events(rows, session).select(session, F.explode(F.aggregate("e", start, step, lambda a: a["out"])).alias("x")).select(session, F.col("x.id").alias("candidate_id"), F.col("x.took").alias("admitted"))
+    def step(self, ts, score):
+        self.best = sorted([*self.best, _low(score)], reverse=True)[: self.k]
+        pooled = sum(self.best) / 2 if len(self.best) == 2 else -1.0
+        self.peak = max(self.peak, pooled)
+        if self.at is None and pooled >= self.threshold:
+            self.at = ts
+        return ()
+
+    def end(self):
+        return ((self.peak, self.at),)
 
 
 def earliest_alert(rows: DataFrame, k: int, threshold: float, session: str = "session_id") -> DataFrame:
-    """(session, peak, alert_ts): the largest mean of the two best scores so far (-1 before the second), and when it first reached threshold."""
-    def step(acc: Column, x: Column) -> Column:
-        best = F.slice(F.sort_array(F.concat(acc["best"], F.array(x["s"])), asc=False), 1, k)
-        pooled = F.when(F.size(best) >= 2, (F.get(best, F.lit(0)) + F.get(best, F.lit(1))) / 2).otherwise(-1.0)
-        at = F.coalesce(acc["at"], F.when(pooled >= threshold, x["t"]))
-        return F.struct(best.alias("best"), F.greatest(acc["peak"], pooled).alias("peak"), at.alias("at"))
+    """(session, peak, alert_ts): the largest mean of the two best scores so far (-1 before the second), and when it first reached threshold.
+
+    Of the k best only the two best are ever pooled, so these are the state.
+    """
+    return ordered_scan(rows, session, ["ts", "score"], _ARRIVAL, lambda: _Alert(k, threshold), "peak double, alert_ts double")
+
 
-    start = F.struct(F.array().cast(_KEPT).alias("best"), F.lit(-1.0).alias("peak"), F.lit(None).cast("double").alias("at"))
-    return _events(rows, session).withColumn("r", F.aggregate("e", start, step)).select(session, F.col("r.peak").alias("peak"), F.col("r.at").alias("alert_ts"))
+class _Spread(Scan):
+    def __init__(self, gap_s: float):
+        self.gap_s, self.times, self.passed = gap_s, [], 0
+
+    def step(self, ident, ts):
+        at = bisect.bisect_left(self.times, ts)
+        near = any(abs(self.times[i] - ts) < self.gap_s for i in (at - 1, at) if 0 <= i < len(self.times))
+        if near:
+            self.passed += 1
+            return ((ident, False, self.passed),)
+        self.times.insert(at, ts)
+        return ((ident, True, len(self.times)),)
 
 
 def diverse_rank(rows: DataFrame, gap_s: float, session: str = "session_id") -> DataFrame:
     """(session, candidate_id, rank): by falling score, but each next one at least gap_s from all taken while there is such a one.
 
-    What is too near once stays so: one pass in order takes the spread ones, the rest follow in order.
-    The pass compares with those taken only, at most span / gap_s + 1 a session.
+    What is too near once stays so: one pass in order takes the spread ones,
+    the rest follow in order. The state is the sorted times of those taken, at
+    most span / gap_s + 1 a session; a new time meets its two neighbours only.
     """
-    def pick(took: Column, x: Column) -> Column:
-        near = F.exists(took, lambda y: F.abs(x["t"] - y["t"]) < gap_s)
-        return F.when(~near, F.concat(took, F.array(x))).otherwise(took)
+    out = ordered_scan(rows, session, ["candidate_id", "ts"], [-F.col("score"), "ts", "candidate_id"], lambda: _Spread(gap_s), "candidate_id long, spread boolean, place long")
+    taken = F.count_if("spread").over(Window.partitionBy(session))
+    return out.select(session, "candidate_id", F.when(F.col("spread"), F.col("place")).otherwise(taken + F.col("place")).alias("rank"))
+
+
+class _Merged(Scan):
+    def __init__(self, merge_s: float):
+        self.merge_s, self.at, self.n = merge_s, None, 0
+
+    def step(self, ts):
+        if self.n and ts - self.at <= self.merge_s:
+            self.n += 1
+            return ()
+        done = self.end()
+        self.at, self.n = ts, 1
+        return done
 
-    e = rows.groupBy(session).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("n"), F.col("ts").alias("t"), F.col("candidate_id").alias("id")))).alias("e"))
-    at = F.transform("e", lambda x, i: F.struct(i.alias("i"), x["t"].alias("t")))
-    took = e.withColumn("took", F.transform(F.aggregate(at, F.array().cast("array<struct<i:int,t:double>>"), pick), lambda x: x["i"]))
-    order = F.concat(F.transform("took", lambda i: F.get("e", i)["id"]), F.transform(F.filter("e", lambda x, i: ~F.array_contains("took", i)), lambda x: x["id"]))
-    return took.select(session, F.posexplode(order).alias("i", "candidate_id")).select(session, "candidate_id", (F.col("i") + 1).cast("long").alias("rank"))
+    def end(self):
+        return ((self.at, self.n),) if self.n else ()
 
 
 def merge_boundaries(rows: DataFrame, merge_s: float, session: str = "session_id") -> DataFrame:
     """(session, ts, merged): boundaries within merge_s of the first kept one join it."""
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        near = (F.size(acc) > 0) & (x["t"] - last["t"] <= merge_s)
-        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["t"].alias("t"), (last["n"] + 1).alias("n"))))
-        return F.when(near, grown).otherwise(F.concat(acc, F.array(F.struct(x["t"].alias("t"), F.lit(1).cast("long").alias("n")))))
-
-    out = F.aggregate("e", F.array().cast("array<struct<t:double,n:bigint>>"), step)
-    return _events(rows, session).select(session, F.explode(out).alias("x")).select(session, F.col("x.t").alias("ts"), F.col("x.n").alias("merged"))
+    return ordered_scan(rows, session, ["ts"], ["ts"], lambda: _Merged(merge_s), "ts double, merged long")
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:

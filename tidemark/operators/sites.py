@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import bisect
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import clamp
 from tidemark.operators.ordered import bursts
+from tidemark.operators.scan import Scan, ordered_scan
 
 
 def site_opens(packets: DataFrame, identity: str, merge_s: float, look_s: float, past_s: float, least_new: int = 1, least_flows: int = 2, least_bytes: int = 900, quiet_norm: float = 20000.0) -> DataFrame:
@@ -20,48 +24,71 @@ def site_opens(packets: DataFrame, identity: str, merge_s: float, look_s: float,
     w = Window.partitionBy("capture_id").orderBy("ts", identity)
     rows = first.withColumn("new", F.when(F.col("ts") - F.lag("ts").over(w) <= merge_s, 0).otherwise(1)).withColumn("grp", F.sum("new").over(w))
     groups = rows.groupBy("capture_id", "grp").agg(F.min("ts").alias("g"), F.count("*").alias("novelty")).where(F.col("novelty") >= least_new).select("capture_id", "g", "novelty")
-    flows = packets.groupBy("capture_id", "flow_id").agg(F.min("ts").alias("f")).join(groups.select("capture_id", "g"), "capture_id").where((F.col("f") >= F.col("g")) & (F.col("f") <= F.col("g") + look_s)).groupBy("capture_id", "g").agg(F.count("*").alias("flows"))
-    near = packets.join(groups.select("capture_id", "g"), "capture_id").where((F.col("ts") >= F.col("g") - past_s) & (F.col("ts") < F.col("g") + look_s))
-    traffic = near.groupBy("capture_id", "g").agg(F.coalesce(F.sum(F.when(F.col("ts") >= F.col("g"), F.col("length"))), F.lit(0)).cast("long").alias("bytes"), F.coalesce(F.sum(F.when(F.col("ts") < F.col("g"), F.col("length"))), F.lit(0)).cast("long").alias("past"))
+    # packets and flow starts meet only the groups whose span touches their cell of time
+    cell = float(past_s + look_s)
+    spans = groups.select("capture_id", "g", F.explode(F.sequence(F.floor((F.col("g") - past_s) / cell), F.floor((F.col("g") + look_s) / cell))).alias("cell"))
+
+    def near(rows: DataFrame, ts: str) -> DataFrame:
+        return rows.withColumn("cell", F.floor(F.col(ts) / cell)).join(spans, ["capture_id", "cell"])
+
+    flows = near(packets.groupBy("capture_id", "flow_id").agg(F.min("ts").alias("f")), "f").where((F.col("f") >= F.col("g")) & (F.col("f") <= F.col("g") + look_s)).groupBy("capture_id", "g").agg(F.count("*").alias("flows"))
+    met = near(packets.select("capture_id", "ts", "length"), "ts").where((F.col("ts") >= F.col("g") - past_s) & (F.col("ts") < F.col("g") + look_s))
+    after = F.col("ts") >= F.col("g")
+    traffic = met.groupBy("capture_id", "g").agg(F.coalesce(F.sum(F.when(after, F.col("length"))), F.lit(0)).cast("long").alias("bytes"), F.coalesce(F.sum(F.when(~after, F.col("length"))), F.lit(0)).cast("long").alias("past"))
     found = groups.join(flows, ["capture_id", "g"]).join(traffic, ["capture_id", "g"]).where((F.col("flows") >= least_flows) & (F.col("bytes") >= least_bytes))
     return found.select("capture_id", F.col("g").alias("ts"), "novelty", "flows", "bytes", clamp(1 - F.col("past") / quiet_norm, 0, 1).alias("quiet"))
 
 
+class _Blocks(Scan):
+    """Candidates by time; carried and buffered are those that a later block, or this one, may still suppress."""
+
+    def __init__(self, merge_s: float, block_s: float):
+        self.merge_s, self.block_s, self.t0, self.block, self.items, self.carry = merge_s, block_s, None, None, [], []
+
+    def _emit(self, kept: list, before: float):
+        self.carry = [x for x in kept if x[1] >= before]
+        return [(t, ident, score, self.t0) for _, t, ident, score in kept if t < before]
+
+    def _close(self):
+        kept, times = [], []
+        for x in sorted(self.carry + self.items, key=lambda x: x[:3]):
+            i = bisect.bisect_left(times, x[1])
+            if not any(abs(times[j] - x[1]) <= self.merge_s for j in (i - 1, i) if 0 <= j < len(times)):
+                times.insert(i, x[1])
+                kept.append(x)
+        self.items = []
+        return self._emit(kept, self.t0 + (self.block + 1) * self.block_s - self.merge_s)
+
+    def step(self, event_id, ts, score):
+        out = []
+        if self.t0 is None:
+            self.t0, self.block = ts, 0
+        block = math.floor((ts - self.t0) / self.block_s)
+        if block != self.block:
+            out = self._close()
+            self.block = block
+            # blocks without candidates end too: what they would let go of is let go of before
+            out += self._emit(self.carry, self.t0 + block * self.block_s - self.merge_s)
+        self.items.append((math.inf if score is None else -score, ts, event_id, score))
+        return out
+
+    def end(self):
+        return self._close() + self._emit(self.carry, math.inf)
+
+
 def suppress_in_blocks(candidates: DataFrame, merge_s: float, block_s: float, delay_s: float) -> DataFrame:
     """(capture_id, rank, event_id, ts, score, emit_ts): greedy suppression block by block, as a causal reader can do it.
 
     At a block's end, what was carried and what came in the block are
-    suppressed together. Survivors within merge_s of the end are carried on;
-    earlier ones are emitted, suppressed ones forgotten. Ranks follow time.
-    emit_ts is no earlier than ts + merge_s + delay_s. The state of the fold
-    is what is carried, and the output.
+    suppressed together, null scores last. Survivors within merge_s of the end
+    are carried on; earlier ones are emitted, suppressed ones forgotten. Ranks
+    follow time. emit_ts is no earlier than ts + merge_s + delay_s. A scan by
+    time whose state is one block's candidates and what is carried.
     """
-    item = "struct<s:double,t:double,id:bigint>"
-    t0 = candidates.groupBy("capture_id").agg(F.min("ts").alias("t0"))
-    rows = candidates.join(t0, "capture_id").withColumn("block", F.floor((F.col("ts") - F.col("t0")) / block_s))
-    per = rows.groupBy("capture_id", "t0", "block").agg(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("ts").alias("t"), F.col("event_id").alias("id"))).alias("c"))
-    blocks = per.groupBy("capture_id", "t0").agg(F.array_sort(F.collect_list(F.struct("block", "c"))).alias("b"))
-
-    def greedy(items: Column) -> Column:
-        return F.aggregate(F.array_sort(items), F.array().cast(f"array<{item}>"), lambda a, x: F.when(F.exists(a, lambda k: F.abs(k["t"] - x["t"]) <= merge_s), a).otherwise(F.concat(a, F.array(x))))
-
-    def step(acc: Column, b: Column) -> Column:
-        end = F.col("t0") + (b["block"] + 1) * F.lit(float(block_s))
-        # blocks without candidates end too: what they would let go of is let go of before
-        stale = F.col("t0") + b["block"] * F.lit(float(block_s))
-        early = F.filter(acc["carry"], lambda k: k["t"] < stale - merge_s)
-        live = F.filter(acc["carry"], lambda k: k["t"] >= stale - merge_s)
-
-        def split(kept: Column) -> Column:
-            return F.struct(F.filter(kept, lambda k: k["t"] >= end - merge_s).alias("carry"), F.concat(acc["out"], early, F.filter(kept, lambda k: k["t"] < end - merge_s)).alias("out"))
-
-        return F.element_at(F.transform(F.array(greedy(F.concat(live, b["c"]))), split), 1)
-
-    start = F.struct(F.array().cast(f"array<{item}>").alias("carry"), F.array().cast(f"array<{item}>").alias("out"))
-    out = blocks.select("capture_id", "t0", F.explode(F.aggregate("b", start, step, lambda a: F.concat(a["out"], a["carry"]))).alias("k"))
-    rank = F.row_number().over(Window.partitionBy("capture_id").orderBy("k.t", "k.id")).cast("long")
-    block_end = F.col("t0") + (F.floor((F.col("k.t") - F.col("t0")) / block_s) + 1) * F.lit(float(block_s))
-    return out.select("capture_id", rank.alias("rank"), F.col("k.id").alias("event_id"), F.col("k.t").alias("ts"), (-F.col("k.s")).alias("score"), F.greatest(block_end, F.col("k.t") + merge_s + delay_s).alias("emit_ts"))
+    out = ordered_scan(candidates, "capture_id", ["event_id", "ts", "score"], ["ts", "event_id"], lambda: _Blocks(merge_s, block_s), "ts double, event_id long, score double, t0 double")
+    rank = F.row_number().over(Window.partitionBy("capture_id").orderBy("ts", "event_id")).cast("long")
+    block_end = F.col("t0") + (F.floor((F.col("ts") - F.col("t0")) / block_s) + 1) * F.lit(float(block_s))
+    return out.select("capture_id", rank.alias("rank"), "event_id", "ts", "score", F.greatest(block_end, F.col("ts") + merge_s + delay_s).alias("emit_ts"))
 
 
 def jitter_anchors(anchors: DataFrame, offsets: list[float]) -> DataFrame:
