@@ -31,33 +31,38 @@ def on_grid(packets: DataFrame, step_s: float, post_s: float, pre_s: float) -> D
     return rows.withColumn("side", side).where("side is not null")
 
 
-def segment_stats(rows: DataFrame, keys: list[str], gap_s: float) -> DataFrame:
-    """Shape numbers of each segment (rows sharing keys), with intrinsic_salience from 0 to 1."""
+def segment_stats(rows: DataFrame, keys: list[str], gap_s: float, sums: dict[str, Column] | None = None) -> DataFrame:
+    """Shape numbers of each segment (rows sharing keys), with intrinsic_salience from 0 to 1 and the sums asked for.
+
+    One window order and one aggregation: a burst's bytes so far are the bytes
+    so far less those before its first packet, and the most of them at any
+    packet is the largest burst.
+    """
     w = Window.partitionBy(*keys).orderBy("ts", "event_id")
     size = F.when(F.col("payload_len") > 0, F.col("payload_len")).otherwise(F.col("length")).cast("double")
-    rows = (rows.withColumn("size", size).withColumn("ll", F.log1p("size")).withColumn("prev", F.lag("ts").over(w)).withColumn("before", F.lag("direction").over(w))
-            .withColumn("iat", F.col("ts") - F.col("prev")).withColumn("burst", F.sum(F.when(F.col("iat") > gap_s, 1).otherwise(0)).over(w)))
-    burst = rows.groupBy(*keys, "burst").agg(F.sum("length").alias("bb")).groupBy(*keys).agg(F.count("*").alias("bursts"), F.max("bb").alias("max_burst"))
-    scale = F.greatest(F.coalesce(F.percentile(F.when(F.col("iat") > 1e-6, F.col("iat")), F.lit(0.5)), F.lit(1.0)), F.lit(1e-6))
+    rows = (rows.withColumn("size", size).withColumn("ll", F.log1p("size")).withColumn("iat", F.col("ts") - F.lag("ts").over(w)).withColumn("before", F.lag("direction").over(w))
+            .withColumn("opens", F.coalesce(F.col("iat") > gap_s, F.lit(True))).withColumn("so_far", F.sum("length").over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    rows = rows.withColumn("burst", F.col("so_far") - F.max(F.when(F.col("opens"), F.col("so_far") - F.col("length"))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     up = F.col("direction") == "up"
     n, total = F.count("*"), F.sum("size")
-    # the clipped gaps' quantiles are the gaps' quantiles scaled, where none is clipped; clip per row needs the scale first
     per = rows.groupBy(*keys).agg(
         n.alias("n_pkts"), total.alias("bytes_total"), (F.max("ts") - F.min("ts")).alias("duration_s"), safe_div(F.count_if(up), n).alias("up_pkt_frac"), safe_div(F.coalesce(F.sum(F.when(up, F.col("size"))), F.lit(0.0)), total).alias("up_byte_frac"),
         safe_div(F.count_if(F.col("before") != F.col("direction")), F.greatest(n - 1, F.lit(1))).alias("dir_switch_rate"), safe_div(F.count_if((F.col("before") == "up") & (F.col("direction") == "down")), F.greatest(n - 1, F.lit(1))).alias("up_then_down_rate"),
         safe_div(F.count_if(F.col("size") >= 1000), n).alias("large_pkt_frac"), safe_div(F.count_if(F.col("size") <= 80), n).alias("small_pkt_frac"), F.avg("ll").alias("len_log_mean"), F.stddev_pop("ll").alias("len_log_std"), F.percentile("ll", F.lit(0.9)).alias("len_log_p90"),
-        scale.alias("scale"), F.array_sort(F.collect_list("iat")).alias("gaps"))
-    rel = F.transform("gaps", lambda x: F.least(x / F.col("scale"), F.lit(30.0)))
+        F.count_if("opens").alias("bursts"), F.max("burst").alias("max_burst"), F.array_sort(F.collect_list("iat")).alias("gaps"), *[F.coalesce(F.sum(x), F.lit(0)).cast("long").alias(name) for name, x in (sums or {}).items()])
 
     def quantile(a: Column, q: float) -> Column:
         place = (F.size(a) - 1) * F.lit(q)
         low = F.floor(place).cast("int")
         x, y = F.get(a, low), F.coalesce(F.get(a, low + 1), F.get(a, low))
-        return F.coalesce(x + (y - x) * (place - low), F.lit(0.0))
+        return x + (y - x) * (place - low)
 
-    per = per.withColumn("rel", rel).join(burst, keys)
+    positive = F.filter("gaps", lambda x: x > 1e-6)
+    per = per.withColumn("scale", F.when(F.size(positive) > 0, quantile(positive, 0.5)).otherwise(1.0))
+    per = per.withColumn("rel", F.transform("gaps", lambda x: F.least(x / F.col("scale"), F.lit(30.0))))
+    rel = [F.when(F.size("rel") > 0, quantile(F.col("rel"), q)).otherwise(0.0).alias(name) for q, name in ((0.5, "iat_rel_p50"), (0.9, "iat_rel_p90"))]
     per = per.select(*keys, "n_pkts", F.log1p("n_pkts").alias("n_pkts_log"), "bytes_total", F.log1p("bytes_total").alias("bytes_log"), "duration_s", F.log1p("duration_s").alias("duration_log"), "up_pkt_frac", "up_byte_frac", "dir_switch_rate", "up_then_down_rate",
-                     "large_pkt_frac", "small_pkt_frac", "len_log_mean", "len_log_std", "len_log_p90", quantile(F.col("rel"), 0.5).alias("iat_rel_p50"), quantile(F.col("rel"), 0.9).alias("iat_rel_p90"), F.log1p("bursts").alias("burst_count_log"), F.log1p("max_burst").alias("burst_bytes_max_log"))
+                     "large_pkt_frac", "small_pkt_frac", "len_log_mean", "len_log_std", "len_log_p90", *rel, F.log1p("bursts").alias("burst_count_log"), F.log1p("max_burst").alias("burst_bytes_max_log"), *(sums or {}))
     one = F.lit(1.0)
     vol, pkt, bst = F.least(one, F.col("bytes_log") / F.log1p(F.lit(20000.0))), F.least(one, F.col("n_pkts_log") / F.log1p(F.lit(18.0))), F.least(one, F.col("burst_bytes_max_log") / F.log1p(F.lit(16000.0)))
     both = 1 - F.abs(F.col("up_byte_frac") - 0.5) * 2
@@ -68,19 +73,33 @@ def segment_stats(rows: DataFrame, keys: list[str], gap_s: float) -> DataFrame:
 
 def flow_shape(packets: DataFrame, step_s: float, post_s: float, pre_s: float, gap_s: float) -> DataFrame:
     """Per (capture_id, cand): byte-weighted salience, change and intrinsic means, and byte fractions over the flows active after the grid time."""
-    rows = on_grid(packets, step_s, post_s, pre_s)
+    flows = _flows(on_grid(packets, step_s, post_s, pre_s), gap_s, {})
+    agg, top3 = _over_flows(flows)
+    return _with_top(flows.groupBy("capture_id", "cand").agg(*agg), top3)
+
+
+def _flows(rows: DataFrame, gap_s: float, sums: dict[str, Column]) -> DataFrame:
+    """Per (capture_id, cand, flow_id): change, intrinsic salience and weight of the flow, and the sums of both sides as pre and post; post_ is null without a packet after."""
     key = ["capture_id", "cand", "flow_id"]
-    seg = segment_stats(rows, [*key, "side"], gap_s)
-    both = seg.groupBy(*key).agg(*[F.max(F.when(F.col("side") == s, F.struct(*SCALES, "intrinsic_salience", "bytes_total"))).alias(s) for s in ("pre", "post")]).where("post is not null")
+    seg = segment_stats(rows, [*key, "side"], gap_s, sums)
+    both = seg.groupBy(*key).agg(*[F.max(F.when(F.col("side") == s, F.struct(*SCALES, "intrinsic_salience", "bytes_total", *sums))).alias(s) for s in ("pre", "post")])
     squares = [F.pow((F.col(f"post.{n}") - F.col(f"pre.{n}")) / s, 2) for n, s in SCALES.items()]
     total = squares[0]
     for x in squares[1:]:
         total = total + x
     moved = clamp(F.sqrt(total / len(SCALES)), 0, 3) / 3
     intrinsic = F.col("post.intrinsic_salience")
-    per = both.select(*key, F.col("pre").isNotNull().alias("had_pre"), F.coalesce(moved, intrinsic).alias("change"), intrinsic.alias("intrinsic"), F.col("post.bytes_total").alias("bytes"))
-    per = per.withColumn("salience", clamp(0.55 * F.col("change") + 0.45 * F.col("intrinsic"), 0, 1)).withColumn("w", F.greatest(F.lit(1.0), F.col("bytes")))
+    seen = F.col("post").isNotNull()
+    per = both.select(*key, *[F.col(f"{side}.{name}").alias(f"{side}_{name}") for side in ("pre", "post") for name in sums], F.col("pre").isNotNull().alias("had_pre"),
+                      F.when(seen, F.coalesce(moved, intrinsic)).alias("change"), intrinsic.alias("intrinsic"), F.col("post.bytes_total").alias("bytes"))
+    # of a flow without a packet after the grid time only its sums before it count
+    return per.withColumn("salience", F.when(F.col("bytes").isNotNull(), clamp(0.55 * F.col("change") + 0.45 * F.col("intrinsic"), 0, 1))).withColumn("w", F.when(F.col("bytes").isNotNull(), F.greatest(F.lit(1.0), F.col("bytes"))))
+
+
+def _over_flows(flows: DataFrame) -> tuple[list[Column], Column]:
+    """The aggregates over a grid time's flows; those without a packet after it have nulls, and a grid time with no other flow has no weight."""
     top = F.slice(F.sort_array(F.collect_list("salience"), asc=False), 1, 3)
+    there = F.col("bytes").isNotNull()
 
     def mean(c: str) -> Column:
         return F.sum(F.col(c) * F.col("w")) / F.sum("w")
@@ -89,28 +108,37 @@ def flow_shape(packets: DataFrame, step_s: float, post_s: float, pre_s: float, g
         return safe_div(F.coalesce(F.sum(F.when(cond, F.col("bytes"))), F.lit(0.0)), F.sum("bytes"))
 
     high = F.count_if(F.col("salience") >= 0.35)
-    agg = per.groupBy("capture_id", "cand").agg(
+    agg = [
         mean("salience").alias("salience"), top.alias("t"), F.max("change").alias("change_max"), mean("change").alias("change"), F.max("intrinsic").alias("intrinsic_max"), mean("intrinsic").alias("intrinsic"),
         share((F.col("change") >= 0.18) | (F.col("intrinsic") >= 0.35)).alias("changed_frac"), share(F.col("had_pre") & (F.col("change") < 0.08) & (F.col("intrinsic") < 0.22)).alias("stable_frac"),
-        F.count("*").alias("active_flows"), high.alias("high_flows"), safe_div(F.count_if("had_pre"), F.count("*")).alias("pre_frac"))
+        F.count("bytes").alias("active_flows"), high.alias("high_flows"), safe_div(F.count_if(there & F.col("had_pre")), F.count("bytes")).alias("pre_frac")]
     top3 = F.aggregate("t", F.lit(0.0), lambda s, x: s + x) / F.size("t")
-    return agg.withColumn("top3", top3).withColumn("multiflow", clamp(F.col("high_flows") / 3, 0, 1) * clamp(F.col("top3"), 0, 1)).drop("t")
+    return agg, top3
+
+
+def _with_top(agg: DataFrame, top3: Column) -> DataFrame:
+    """The rows of grid times with a flow active after them."""
+    return agg.where("active_flows > 0").withColumn("top3", top3).withColumn("multiflow", clamp(F.col("high_flows") / 3, 0, 1) * clamp(F.col("top3"), 0, 1)).drop("t")
 
 
 def scan_scores(packets: DataFrame, step_s: float, post_s: float, pre_s: float, gap_s: float, important: list[str], backend: list[str], least_bytes: int, burst_norm: float = 50000.0, quiet_norm: float = 20000.0, flow_norm: float = 8.0) -> DataFrame:
     """(capture_id, cand, ts, score and its terms) of grid times with enough traffic after them."""
     rows = on_grid(packets, step_s, post_s, pre_s)
     first = packets.groupBy("capture_id", "flow_id").agg(F.min("ts").alias("first_ts"))
-    rows = rows.join(first, ["capture_id", "flow_id"])
-    post, pre = F.col("side") == "post", F.col("side") == "pre"
-
-    def bytes_of(cond: Column) -> Column:
-        return F.coalesce(F.sum(F.when(cond, F.col("length"))), F.lit(0)).cast("long")
-
-    agg = rows.groupBy("capture_id", "cand").agg(
-        F.first(F.col("t0") + F.col("at")).alias("ts"), bytes_of(post).alias("bytes"), bytes_of(post & F.col("role").isin(important)).alias("important"), bytes_of(post & F.col("role").isin(backend)).alias("backend"), bytes_of(pre & F.col("role").isin(important)).alias("past"),
-        F.countDistinct(F.when(post & (F.col("first_ts") >= F.col("t0") + F.col("at")), F.col("flow_id"))).alias("new_flows")).where(F.col("bytes") >= least_bytes)
-    out = agg.join(flow_shape(packets, step_s, post_s, pre_s, gap_s), ["capture_id", "cand"])
+    t0 = packets.groupBy("capture_id").agg(F.min("ts").alias("t0"))
+    size = F.col("length")
+    flows = _flows(rows, gap_s, {"all": size, "important": F.when(F.col("role").isin(important), size), "backend": F.when(F.col("role").isin(backend), size)})
+    # flows, not packets, meet the first times
+    flows = flows.join(first, ["capture_id", "flow_id"]).join(t0, "capture_id").withColumn("at", F.col("t0") + F.col("cand") * F.lit(float(step_s)))
+    agg, top3 = _over_flows(flows)
+
+    def total(name: str) -> Column:
+        return F.coalesce(F.sum(name), F.lit(0)).cast("long")
+
+    per = flows.groupBy("capture_id", "cand").agg(
+        *agg, F.first("at").alias("ts"), total("post_all").alias("all_bytes"), total("post_important").alias("important"), total("post_backend").alias("backend"), total("pre_important").alias("past"),
+        F.count_if(F.col("bytes").isNotNull() & (F.col("first_ts") >= F.col("at"))).alias("new_flows"))
+    out = _with_top(per.where(F.col("all_bytes") >= least_bytes), top3).withColumnRenamed("all_bytes", "bytes")
     norm = F.log1p(F.lit(burst_norm))
     terms = {
         "burst": clamp(F.log1p("important") / norm, 0, 1.5), "backend_term": clamp(F.log1p("backend") / norm, 0, 1.5), "quiet": clamp(1 - F.col("past") / quiet_norm, 0, 1), "new_flow": clamp(F.col("new_flows") / flow_norm, 0, 1),
