@@ -92,6 +92,47 @@ def test_op8_at_default_parameters(spark, core, width):
     print("recall", core, width, mine.sum() / max(1, true.sum()), (mine == true).mean())
 
 
+def test_op8_finds_every_link_at_any_size(spark):
+    """Counts and components are those of brute force: in a loose group of 17000, in few dimensions, in many, and around a ball's edge."""
+    rng = np.random.default_rng(21)
+    far = rng.standard_normal((1500, 64))
+    step = rng.standard_normal((1500, 64)) * np.linalg.norm(far, axis=1, keepdims=True) / 8
+    ring = np.full((3000, 3), 0.001)
+    turn, wide = rng.uniform(0, 2 * np.pi, 3000), np.where(np.arange(3000) < 1800, 0.02, np.arccos(0.98) / 2 + rng.uniform(-0.002, 0.002, 3000))
+    ring[:, 0], ring[:, 1], ring[:, 2] = np.cos(wide), np.sin(wide) * np.cos(turn), np.sin(wide) * np.sin(turn)
+    groups = [cone(rng, 17000, 16, 0.04, 15), rng.standard_normal((4000, 4)), np.concatenate([far, far + step * rng.uniform(0.1, 0.2, (1500, 1))]), ring]
+    rows = [(100_000 * c + i, v, c) for c, x in enumerate(groups) for i, v in enumerate(x.tolist())]
+    got = {r.vec_id: r for r in rpforest.op8_embedding_dedup(spark.createDataFrame(rows, VEC)).collect()}
+    for c, x in enumerate(groups):
+        u, low = rpforest.unit(x), np.arange(len(x))
+        near = [np.nonzero(u[a:a + 1000] @ u.T >= 0.98) for a in range(0, len(u), 1000)]
+        i, j = np.concatenate([1000 * k + n[0] for k, n in enumerate(near)]), np.concatenate([n[1] for n in near])
+        while (low[i] != low[j]).any():
+            np.minimum.at(low, i, low[j])
+            low = low[low]
+        mine = [got[100_000 * c + k] for k in range(len(x))]
+        assert [r.n_links for r in mine] == (np.bincount(i) - 1).tolist(), c
+        assert [r.component_id - 100_000 * c for r in mine] == low.tolist(), c
+
+
+@pytest.mark.parametrize("dims", [1, 2, 5, 6, 40])
+def test_some_tree_parts_no_linked_pair(dims):
+    """Pairs as far apart as links may be, along directions that trees cut: each shares a leaf of one tree at least."""
+    rng, trees = np.random.default_rng(dims), 6
+    pools, spill = rpforest.directions(dims, trees), rpforest.spill_of(0.98, trees, dims)
+    along = np.concatenate([p[:200] for p in pools] + [rpforest.unit(rng.standard_normal((400, dims)))])
+    x = rpforest.unit(rng.standard_normal((len(along), dims)))
+    y = rpforest.unit(x + along * 0.2)
+    linked = np.flatnonzero((x * y).sum(axis=1) >= 0.98)
+    both, n, shared = np.concatenate([x[linked], y[linked]]), len(linked), np.zeros(len(linked), bool)
+    for pool in pools:
+        table = np.array(rpforest.grow(both, 8, rng, pool, spill), dtype=rpforest._SPLIT)
+        for _, at in rpforest.route(both, table, pool):
+            inside = np.isin(np.arange(2 * n), at)
+            shared |= inside[:n] & inside[n:]
+    assert n and shared.all()
+
+
 def test_leaves_that_overlap_count_a_link_once(spark, monkeypatch):
     """Small leaves and blocks: every count is that of links found, whatever trees, balls and blocks meet a pair."""
     monkeypatch.setattr(rpforest, "BLOCK", 50)

@@ -2,11 +2,17 @@
 
 A tree splits a label's vectors again and again by their projection on a random
 direction. Of a few directions and cuts the one with the fewest vectors near it
-is taken, and vectors nearer to it than the spill go to both sides. Where most
-vectors lie near every cut, a node of DENSE vectors or fewer stays whole, and a
-larger one is cut at the median without spill; the other trees make up for it.
-Splits are learned from bounded samples of a node, in rounds; what a round
-gives each vector is the list of its leaves' keys.
+is taken, and vectors nearer to it than the spill go to both sides. A node where
+no cut leaves out enough pairs stays whole, of whatever size. Splits are learned
+from bounded samples of a node, in rounds; what a round gives each vector is the
+list of its leaves' keys.
+
+No link is lost, whatever the sizes. The trees draw their directions from
+subspaces at right angles to each other, one a tree. Unit vectors that link are
+at most d = sqrt(2 - 2 * threshold) apart, and the squares of their distances
+within the subspaces of m trees sum to d * d at most; so in one of them they
+are within d / sqrt(m). The spill is half of that: no cut of that tree parts
+them. Samples and sizes only decide how much is compared.
 
 In a leaf all vectors are compared, in double precision. A pair may share
 several leaves; it is counted in the one with the smallest key, which each
@@ -22,6 +28,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
@@ -33,17 +40,28 @@ from pyspark.sql import functions as F
 from tidemark.operators.components import connected_components
 from tidemark.storage import drop, materialize
 
-THRESHOLD, TREES, LEAF, SAMPLE, MAX_DEPTH, ROUNDS, SPILL, TRIES = 0.98, 6, 1024, 2000, 8, 12, 0.03, 12
-#: Directions that all trees draw from; rows of a block; bytes of split tables that one pass broadcasts.
+THRESHOLD, TREES, LEAF, SAMPLE, MAX_DEPTH, ROUNDS, TRIES = 0.98, 6, 1024, 2000, 8, 12, 12
+#: Directions of all trees together; rows of a block; bytes of split tables that one pass broadcasts.
 POOL, BLOCK, TABLE_BYTES = 2048, 4096, 64 << 20
-#: Vectors that are compared all with all where no cut is clear; rows of keys up to which a join is hinted as a broadcast.
-DENSE, FEW_KEYS = 16384, 500_000
+#: Share of a node's pairs that the sides of a cut may hold together; rows of keys up to which a join is hinted as a broadcast.
+PAIRS, FEW_KEYS = 0.85, 500_000
 _SPLIT = np.dtype([("dir", "<i4"), ("low", "<i4"), ("high", "<i4"), ("cut", "<f8"), ("spill", "<f8")])
 
 
-def directions(dims: int) -> np.ndarray:
-    d = np.random.default_rng([dims, 7]).standard_normal((POOL, dims))
-    return d / np.sqrt((d * d).sum(axis=1, keepdims=True))
+@lru_cache(maxsize=4)
+def directions(dims: int, trees: int) -> list[np.ndarray]:
+    """Unit directions of each tree, as rows; those of different trees are at right angles. There are no more trees than dimensions."""
+    rng, m = np.random.default_rng([dims, 7]), min(trees, dims)
+    out = []
+    for basis in np.array_split(np.linalg.qr(rng.standard_normal((dims, dims)))[0].T, m):
+        d = rng.standard_normal((max(1, POOL // m), len(basis))) @ basis
+        out.append(d / np.sqrt((d * d).sum(axis=1, keepdims=True)))
+    return out
+
+
+def spill_of(threshold: float, trees: int, dims: int) -> float:
+    """The least spill with which some tree keeps each two linked vectors together, and a margin for rounding."""
+    return math.sqrt(max(0.0, 2 - 2 * threshold) / min(trees, dims)) / 2 + 1e-9
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -53,9 +71,10 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def key_of(*parts) -> int:
-    """An even 63-bit key; odd ones are of leaves that are not split again."""
-    return int.from_bytes(blake2b(repr(parts).encode(), digest_size=8).digest(), "little") >> 1 & ~1
+def key_of(parent: int, path: str, trees: int) -> int:
+    """An even 62-bit key, of the parent's tree t: 2 * t modulo 2 * trees. Odd keys are of leaves that are not split again."""
+    h = int.from_bytes(blake2b(repr((parent, path)).encode(), digest_size=8).digest(), "little") >> 2
+    return h - h % (2 * trees) + parent % (2 * trees)
 
 
 def classes(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> tuple[DataFrame, DataFrame]:
@@ -76,37 +95,28 @@ def classes(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) ->
     return own, materialize(some.select(F.col("f.vec_id").alias("cls"), "f.node", "n", "f.v", "h1", "h2"), "forest-classes")
 
 
-def grow(x: np.ndarray, size: int, depth: int, rng: np.random.Generator, pool: np.ndarray, spill: float = SPILL) -> list[tuple]:
-    """A subtree from unit vectors, a sample of size, as rows (dir, low, high, cut, spill), the root first; a child of -1 is a leaf."""
-    each = size / max(1, len(x))
+def grow(x: np.ndarray, depth: int, rng: np.random.Generator, pool: np.ndarray, spill: float) -> list[tuple]:
+    """A subtree from a sample of unit vectors as rows (dir, low, high, cut, spill), the root first; a child of -1 is a leaf."""
     out: list[tuple] = []
 
     def add(x: np.ndarray, depth: int) -> int:
         if depth <= 0 or len(x) < 16:
             return -1
         best = None
-        for k in rng.integers(0, POOL, TRIES).tolist():
+        for k in rng.integers(0, len(pool), TRIES).tolist():
             p = x @ pool[k]
             for q in (0.5, 0.35, 0.65, 0.2, 0.8, 0.08, 0.92):
                 cut = float(np.quantile(p, q))
                 near, left = np.mean(np.abs(p - cut) <= spill), np.mean(p <= cut)
                 cost = near + abs(left - 0.5) / 2
-                if max(np.mean(p <= cut + spill), np.mean(p > cut - spill)) < 0.97 and (best is None or cost < best[0]):
-                    best = (cost, k, cut, p, spill)
-        if (best is None or best[0] > 0.5) and len(x) * each <= DENSE:
-            return -1
-        if best is None or best[0] > 0.5:  # dense: the direction of the widest spread, at its median, without spill
-            some = rng.integers(0, POOL, 4 * TRIES)
-            p = x @ pool[some].T
-            j = int(p.std(axis=0).argmax())
-            best = (1, int(some[j]), float(np.median(p[:, j])), p[:, j], 0.0)
-        _, k, cut, p, own = best
-        low, high = p <= cut + own, p > cut - own
-        if low.all() or high.all():
+                if np.mean(p <= cut + spill) ** 2 + np.mean(p > cut - spill) ** 2 <= PAIRS and (best is None or cost < best[0]):
+                    best = (cost, k, cut, p)
+        if best is None:
             return -1
+        _, k, cut, p = best
         i = len(out)
         out.append(())
-        out[i] = (k, add(x[low], depth - 1), add(x[high], depth - 1), cut, own)
+        out[i] = (k, add(x[p <= cut + spill], depth - 1), add(x[p > cut - spill], depth - 1), cut, spill)
         return i
 
     add(x, depth)
@@ -127,7 +137,7 @@ def route(x: np.ndarray, table: np.ndarray, pool: np.ndarray) -> list[tuple[str,
     return out
 
 
-def _learn(leaf: int, threshold: float):
+def _learn(leaf: int, threshold: float, trees: int):
     def learn(group: pd.DataFrame) -> pd.DataFrame:
         key, size = int(group["key"].iloc[0]), int(group["size"].iloc[0])
         x = unit(np.array(group.sort_values("cls")["v"].tolist()))
@@ -136,7 +146,8 @@ def _learn(leaf: int, threshold: float):
         if np.mean(x @ centre >= math.cos(math.acos(threshold) / 2) + 1e-9) >= 0.5:
             return pd.DataFrame([(key, b"", centre.tobytes())], columns=["key", "splits", "centre"])
         depth = min(MAX_DEPTH, max(1, math.ceil(math.log2(size / leaf))))
-        table = np.array(grow(x, size, depth, np.random.default_rng(key), directions(x.shape[1])), dtype=_SPLIT)
+        pool = directions(x.shape[1], trees)[key % (2 * trees) // 2]
+        table = np.array(grow(x, depth, np.random.default_rng(key), pool, spill_of(threshold, trees, x.shape[1])), dtype=_SPLIT)
         return pd.DataFrame([(key, table.tobytes(), b"")], columns=["key", "splits", "centre"])
 
     return learn
@@ -153,12 +164,20 @@ def _by_length(column: pa.ListArray) -> Iterator[np.ndarray]:
         yield np.flatnonzero(n == k)
 
 
-def _divide(tables: dict[int, tuple[np.ndarray, np.ndarray | None]], threshold: float, first: bool):
+def _divide(tables: dict[int, tuple[np.ndarray, np.ndarray | None]], threshold: float, trees: int, first: bool):
     """Routes each vector within those of its leaves that have a table; a leaf without splits becomes odd, and its centre's ball is noted.
 
-    Roots without splits, in the first round, become one leaf for all trees.
+    Where a root has no splits, in the first round, its label is one leaf for
+    all trees, with one centre: that of the first tree with one.
     """
     half = math.cos(math.acos(threshold) / 2) + 1e-9
+    end = {k: k - k % (2 * trees) + 1 if first else k | 1 for k in sorted(tables)}
+    whole = {end[k] for k in tables if not len(tables[k][0])}
+    ends = {k: last for k, last in end.items() if last in whole}
+    centres: dict[int, np.ndarray] = {}
+    for k, last in ends.items():
+        if tables[k][1] is not None:
+            centres.setdefault(last, tables[k][1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: dict[tuple[int, str], int] = {}
@@ -171,16 +190,16 @@ def _divide(tables: dict[int, tuple[np.ndarray, np.ndarray | None]], threshold:
                         todo.setdefault(k, []).append(i)
             for rows in _by_length(batch["v"]):
                 x, place = unit(_rows(batch["v"], rows)), {int(r): j for j, r in enumerate(rows.tolist())}
-                pool = directions(x.shape[1])
+                pools = directions(x.shape[1], trees) if todo else []
                 for k, some in todo.items():
                     some = [i for i in some if i in place]
                     if not some:
                         continue
-                    table, centre = tables[k]
+                    table = tables[k][0]
                     own = x[[place[i] for i in some]]
-                    if not len(table):
-                        last = k & ~0xFF | 1 if first else k | 1
-                        inside = own @ centre >= half if centre is not None else np.zeros(len(own), bool)
+                    if k in ends:
+                        last = ends[k]
+                        inside = own @ centres[last] >= half if last in centres else np.zeros(len(own), bool)
                         for i, b in zip(some, inside.tolist()):
                             leaves[i].remove(k)
                             if last not in leaves[i]:
@@ -190,8 +209,8 @@ def _divide(tables: dict[int, tuple[np.ndarray, np.ndarray | None]], threshold:
                         continue
                     for i in some:
                         leaves[i].remove(k)
-                    for path, at in route(own, table, pool):
-                        new = names.setdefault((k, path), 0) or names.update({(k, path): key_of(k, path)}) or names[(k, path)]
+                    for path, at in route(own, table, pools[k % (2 * trees) // 2]):
+                        new = names.setdefault((k, path), 0) or names.update({(k, path): key_of(k, path, trees)}) or names[(k, path)]
                         for j in at.tolist():
                             leaves[some[j]].append(new)
             cols = {c: batch[c] for c in ("cls", "n", "v")}
@@ -215,11 +234,14 @@ def forest(distinct: DataFrame, trees: int, leaf: int, threshold: float) -> Data
     kind = distinct.schema["v"].dataType.simpleString()
     schema = f"cls long, n long, v {kind}, leaves array<bigint>, ball long"
     sizes = distinct.groupBy("node").agg(F.count("*").alias("size"))
-    hashed = lambda t: F.xxhash64("node", F.lit(3)).bitwiseAND(F.lit(0x7FFFFFFFFFFFFF00)).bitwiseOR(F.lit(2 * t))
-    roots = F.when(F.col("size") > leaf, F.array(*[hashed(t) for t in range(trees)])).otherwise(F.array(hashed(0).bitwiseOR(F.lit(1))))
+    h = F.shiftrightunsigned(F.xxhash64("node", F.lit(3)), 2)
+    hashed = lambda t: h - h % F.lit(2 * trees) + F.lit(t)
+    own = F.slice(F.array(*[hashed(2 * t) for t in range(trees)]), F.lit(1), F.least(F.lit(trees), F.size("v")))
+    roots = F.when(F.col("size") > leaf, own).otherwise(F.array(hashed(1)))
     state = materialize(distinct.join(sizes, "node").select("cls", "n", "v", roots.alias("leaves"), F.lit(None).cast("long").alias("ball")), "forest-state")
     for turn in range(ROUNDS):
-        keys = state.select(F.explode("leaves").alias("key")).where(F.col("key") % 2 == 0).groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > (2 * leaf if turn else leaf))
+        aim = max(leaf, BLOCK // 2) if turn else leaf  # later rounds leave what fits a block, as copies cost more than pairs
+        keys = state.select(F.explode("leaves").alias("key")).where(F.col("key") % 2 == 0).groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > (2 * aim if turn else leaf))
         large = materialize(keys, "forest-large")
         if large.isEmpty():
             drop(large)
@@ -228,14 +250,15 @@ def forest(distinct: DataFrame, trees: int, leaf: int, threshold: float) -> Data
         want = F.greatest(F.lit(256), F.least(F.lit(SAMPLE), F.floor(F.col("size") / 4)))
         some = state.select("cls", "v", F.explode("leaves").alias("key")).where(F.col("key") % 2 == 0).join(_few(large), "key").withColumn("place", place).where(F.col("place") < 1.3 * want / F.col("size"))
         few = some.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy("place", "cls"))).where(F.col("k") <= SAMPLE).select("key", "cls", "v", "size")
-        plan = materialize(few.groupBy("key").applyInPandas(_learn(leaf, threshold), "key long, splits binary, centre binary"), "forest-splits")
+        plan = materialize(few.groupBy("key").applyInPandas(_learn(aim, threshold, trees), "key long, splits binary, centre binary"), "forest-splits")
         total = plan.agg(F.sum(F.length("splits") + F.length("centre") + 64).alias("b")).first().b
         passes = max(1, math.ceil(total / TABLE_BYTES))
         for k in range(passes):
-            got = plan.where(F.pmod(F.xxhash64("key"), F.lit(passes)) == k).collect()
+            label = F.col("key") - F.col("key") % (2 * trees)  # all roots of a label are of one pass
+            got = plan.where(F.pmod(F.xxhash64(label), F.lit(passes)) == k).collect()
             tables = {r.key: (np.frombuffer(bytes(r.splits), dtype=_SPLIT), np.frombuffer(bytes(r.centre)) if r.centre else None) for r in got}
             held = state.sparkSession.sparkContext.broadcast(tables)
-            new = materialize(state.mapInArrow(lambda b, h=held, first=turn == 0: _divide(h.value, threshold, first)(b), schema), "forest-state")
+            new = materialize(state.mapInArrow(lambda b, h=held, first=turn == 0: _divide(h.value, threshold, trees, first)(b), schema), "forest-state")
             drop(state)
             state = new
         drop(large)
@@ -244,12 +267,12 @@ def forest(distinct: DataFrame, trees: int, leaf: int, threshold: float) -> Data
 
 
 def owned(own: np.ndarray, leaves: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Whether the leaf with key ``own`` is the smallest that rows i and j share; leaves: a row each, padded with -1."""
+    """Whether rows i and j share no leaf with a key smaller than ``own``; leaves: a row each, padded with -1."""
     out = np.empty(len(i), dtype=bool)
-    for at in range(0, len(i), 20_000):
-        a, b = leaves[i[at:at + 20_000]], leaves[j[at:at + 20_000]]
-        shared = ((a[:, :, None] == b[:, None, :]) & (a[:, :, None] >= 0)).any(axis=2)
-        out[at:at + 20_000] = np.where(shared, a, np.iinfo(np.int64).max).min(axis=1) == own
+    step = max(1, 8_000_000 // leaves.shape[1] ** 2)
+    for at in range(0, len(i), step):
+        a, b = leaves[i[at:at + step]], leaves[j[at:at + step]]
+        out[at:at + step] = ~((a[:, :, None] == b[:, None, :]) & (a[:, :, None] >= 0) & (a[:, :, None] < own)).any(axis=(1, 2))
     return out
 
 
@@ -263,17 +286,16 @@ def links_in_leaf(key: int, x: np.ndarray, weight: np.ndarray, leaves: np.ndarra
     m = len(x)
     links, root = np.zeros(m, dtype=np.int64), np.arange(m)
 
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = i = root[root[i]]
-        return i
-
     left, right = np.flatnonzero((side == 0) | (side == 2)), np.flatnonzero(side != 2)
-    for at in range(0, len(left), 1024):
-        a = left[at:at + 1024]
+    for at in range(0, len(left), 256):
+        a = left[at:at + 256]
         for lo in range(0, len(right), 1024):
             b = right[lo:lo + 1024]
+            if b[-1] <= a[0] and not side[a].any() and not side[b].any():
+                continue  # pairs of side 0 that are met the other way round
             hit = x[a] @ x[b].T >= threshold
+            if not hit.any():
+                continue
             hit &= (ball[a][:, None] != ball[b][None, :]) | (ball[a][:, None] < 0)
             hit &= (side[a][:, None] != 0) | (side[b][None, :] != 0) | (a[:, None] < b[None, :])  # a pair of side 0 once
             i, j = np.nonzero(hit)
@@ -284,11 +306,13 @@ def links_in_leaf(key: int, x: np.ndarray, weight: np.ndarray, leaves: np.ndarra
             i, j = i[ok], j[ok]
             np.add.at(links, i, weight[j])
             np.add.at(links, j, weight[i])
-            for p, q in zip(i.tolist(), j.tolist()):
-                p, q = find(p), find(q)
-                if p != q:
-                    root[max(p, q)] = min(p, q)
-    return links, np.array([find(i) for i in range(m)], dtype=np.int64)
+            while len(i):  # each root with a link to a smaller one is hung below it, until no link is between two roots
+                p, q = root[i], root[j]
+                i, j = i[p != q], j[p != q]
+                np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
+                while (root[root] != root).any():
+                    root = root[root]
+    return links, root
 
 
 def _compare(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
@@ -317,7 +341,7 @@ def _compare(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa
             last = units[a]
             some = batch.slice(a, z - a)
             count = some["leaves"].value_lengths().to_numpy()
-            leaves = np.full((len(count), int(count.max())), -1, dtype=np.int64)
+            leaves = np.full((len(count), max(1, int(count.max()))), -1, dtype=np.int64)
             leaves[np.arange(leaves.shape[1])[None, :] < count[:, None]] = some["leaves"].flatten().to_numpy()
             held.append((*[some[c].to_numpy(zero_copy_only=False) for c in ("key", "side", "cls", "n", "ball")], _rows(some["v"], np.arange(z - a)), leaves))
     if held and (got := solve(held)) is not None:
@@ -325,7 +349,7 @@ def _compare(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa
 
 
 def units(state: DataFrame) -> DataFrame:
-    """(unit, key, side, cls, n, v, leaves, ball): what is compared together.
+    """(unit, key, side, cls, n, v, leaves, ball): what is compared together; leaves are those with smaller keys.
 
     A leaf of BLOCK vectors or fewer is a unit. A larger one is dealt into
     blocks by hash, those outside its ball (a) and those in it (c): units are
@@ -344,15 +368,16 @@ def units(state: DataFrame) -> DataFrame:
     cores = seq(F.col("a"), lambda k: place(k, F.col("i"), 1, F.lit(3)))
     whole = F.array(place(F.lit(0), F.lit(0), 0, F.when(F.col("core"), 1).otherwise(0)))
     rows = rows.withColumn("i", i).withColumn("u", F.explode(F.when(F.col("a").isNull(), whole).when(F.col("core"), cores).otherwise(F.concat(other, with_core))))
-    return rows.select(F.xxhash64("key", "u.p", "u.q", "u.kind").alias("unit"), "key", F.col("u.side").alias("side"), "cls", "n", "v", "leaves", F.coalesce("ball", F.lit(-1)).alias("ball"))
+    return rows.select(F.xxhash64("key", "u.p", "u.q", "u.kind").alias("unit"), "key", F.col("u.side").alias("side"), "cls", "n", "v", F.filter("leaves", lambda k: k < F.col("key")).alias("leaves"), F.coalesce("ball", F.lit(-1)).alias("ball"))
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per input row.
 
     Vectors link if their labels are equal and not null and their cosine, in
-    double precision, is at least threshold; links that no tree brings into
-    one leaf are missed (tests measure recall), and none below it is made.
+    double precision, is at least threshold. All links are found, in tables
+    of any size, and none below it is made; a node that no cut serves is
+    compared all with all, in blocks.
     n_links counts each linked vector once, in however many leaves it is met.
     Null vectors and labels, vectors of zeros or with null or non-finite
     components link with nothing; vectors of different lengths do not link.
