@@ -285,3 +285,65 @@ def test_scans_carry_state_over_batches_nulls_and_no_rows(spark):
             mids[s or 0, i] = statistics.median(sizes)
     assert got == want and merged == bounds
     assert med.keys() == mids.keys() and all(abs(med[k] - mids[k]) < 1e-9 for k in mids)
+
+
+def clusters_by_matrix(rows, threshold):
+    """Clusters of each block's samples from the whole matrix of distances; rows are (block, sample, words)."""
+    import numpy as np
+    from tidemark.operators import audits
+
+    held, where = {}, {}
+    for block, sample, words in rows:
+        if words:
+            held.setdefault((block, sample), set()).update(words)
+            for w in words:
+                where.setdefault(w, set()).add(sample)
+    total, out = len({s for _, s in held}), {}
+    for block in {b for b, _ in held}:
+        names, vocabulary = sorted(s for b, s in held if b == block), sorted(where)
+        m = np.array([[(math.log((total + 1) / (len(where[w]) + 1)) + 1) * (w in held[block, s]) for w in vocabulary] for s in names])
+        u = m / np.linalg.norm(m, axis=1)[:, None]
+        out |= {(block, s): c for s, c in zip(names, audits.average_linkage(np.round(1 - u @ u.T, 12), threshold))}
+    return out
+
+
+@pytest.mark.parametrize("again", [False, True])
+def test_token_clusters_match_a_matrix(spark, again):
+    """Near and equal samples, words of one sample and, again, samples in several rows and blocks; in Arrow batches of seven rows."""
+    from tidemark.operators import audits
+
+    draw = random.Random(5)
+    themes = [[f"t{k}w{i}" for i in range(9)] for k in range(6)]
+    rows = []
+    for i in range(90):
+        words = set(draw.sample(draw.choice(themes), draw.randint(2, 7)) + draw.sample(range(40), 2) + ([f"own{i}"] if i % 3 == 0 else []))
+        rows.append((f"b{i % 3}", i, sorted(map(str, words))))
+    rows += [("b0", 200 + i, rows[i][2]) for i in range(6)] + [("b1", 300, [])]
+    if again:
+        rows += [("b0", 0, ["more", "own0"]), ("b2", 3, ["0", "own3"])]
+    df = spark.createDataFrame(rows, "block string, sample long, words array<string>")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        for threshold in (0.2, 0.5, 0.75, 1.0):
+            got = {(r.block, r.sample): r.cluster for r in audits.cluster_by_tokens(df, "block", threshold).collect()}
+            assert got == clusters_by_matrix(rows, threshold) and (threshold > 0.7 or len(set(got.values())) > 3)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_token_clusters_hold_no_matrix():
+    """3000 vectors of 5 entries: a matrix would be 72 MB."""
+    import tracemalloc
+
+    import numpy as np
+    from tidemark.operators import linkage
+
+    draw = np.random.default_rng(3)
+    n, k = 3000, 5
+    col = (draw.integers(0, 300, n)[:, None] * 20 + np.argsort(draw.random((n, 20)), axis=1)[:, :k]).ravel()
+    tracemalloc.start()
+    got = linkage.clusters(np.arange(0, n * k + 1, k), col, np.ones(6000), np.full(n, math.sqrt(k)), np.ones(n, dtype=bool), 0.75, 4096)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8e6 and 300 <= len(set(got.tolist())) < n
