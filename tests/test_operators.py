@@ -367,3 +367,28 @@ def test_segments_without_bytes_match_sql(spark, tmp_path, name):
     assert len(got) and rows_of(got) == rows_of(want)
     if name == "segment_stats":
         assert got[got.bytes_total == 0].up_byte_frac.isna().all() and (got[got.bytes_total == 0].intrinsic_salience == 1).all() and (got.bytes_total == 0).any()
+
+
+TOKEN_QUERIES = ["family_key_hash", "shared_support", "cluster_quality", "family_components", "token_coverage", "token_df", "family_pair_jaccard"]
+
+
+@pytest.mark.parametrize("name", TOKEN_QUERIES)
+def test_tokens_are_counted_before_they_are_shuffled(spark, tmp_path, name):
+    """Repeated, null and wordless documents as in SQL; of other tables no sample's id goes to a shuffle with a token, and words are made once a scan."""
+    import re
+
+    import duckdb
+    from tests.conftest import SF, rows_of
+    from tidemark.plans import catalog
+
+    draw = random.Random(4)
+    texts = [" ".join(f"w{draw.randint(0, 60)}x" for _ in range(12)) for _ in range(60)] + ["", None, "a bc \t", "Ab\tABC\nabc  abc"]
+    rows = [(i, f"s{i % 7}", t) for i, t in enumerate(texts)] + [(3, "s3", "more words w1x"), (4, "s5", "w1x w2x")]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got, want = catalog.QUERIES[name](spark, str(tmp_path)).toPandas(), con.execute(catalog.ORACLES[name]).df()
+    assert len(got) and rows_of(got) == rows_of(want)
+    if name != "family_components":  # its rounds are planned apart
+        plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"hashpartitioning\([^)\n]*sample", plan) and max(line.count("split(") for line in plan.splitlines()) == 1

@@ -138,8 +138,9 @@ def cluster_by_tokens(samples: DataFrame, block: str, threshold: float) -> DataF
     repeated = not samples.groupBy("sample").count().where("count > 1").isEmpty()
     if repeated:
         samples = samples.groupBy(block, "sample").agg(F.array_distinct(F.flatten(F.collect_list("words"))).alias("words"))
+    # the outer explode keeps Spark from making the words twice more, for a filter on their number
+    each = samples.select(block, "sample", F.explode_outer("words").alias("token")).where("token is not null")
     samples = samples.where(F.size("words") > 0)
-    each = samples.select(block, "sample", F.explode("words").alias("token"))
     total = samples.select("sample").distinct().count() if repeated else samples.count()
     counts = each.groupBy(block, "token").agg(F.count("sample").alias("n"))
     df = each.groupBy("token").agg(F.countDistinct("sample").alias("df")) if repeated else counts.groupBy("token").agg(F.sum("n").alias("df"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import audits, families, sites, windows
-from tidemark.plans.evidence import _TOK, _tokens
+from tidemark.plans.evidence import _TOK, _counts
 from tidemark.plans.mapping import HOUR, P, packets, rounded, table
 from tidemark.sources.sinks import sample_key
 
@@ -80,16 +80,14 @@ def reuse_coverage(spark, sf_dir):
 
 @query(_TOK + ", s AS (SELECT family, count(DISTINCT sample) AS size FROM tk GROUP BY 1), c AS (SELECT family, token, count(DISTINCT sample) / any_value(size) AS cov, any_value(size) AS size FROM tk JOIN s USING (family) GROUP BY ALL), b AS (SELECT family, max(cov) AS best FROM c WHERE size >= 4 GROUP BY 1) SELECT count(*) AS families, round(avg(best), 6) AS cohesion FROM b")
 def cluster_quality(spark, sf_dir):
-    t = _tokens(spark, sf_dir)
-    sizes = t.groupBy("family").agg(F.countDistinct("sample").alias("size"))
-    return rounded(audits.cohesion(families.coverage(t), sizes))
+    counts, sizes = _counts(spark, sf_dir)
+    return rounded(audits.cohesion(families.coverage(counts, sizes), sizes))
 
 
 @query(_TOK + ", s AS (SELECT family, count(DISTINCT sample) AS size FROM tk GROUP BY 1), c AS (SELECT family, token, count(DISTINCT sample) AS n, any_value(size) AS size FROM tk JOIN s USING (family) GROUP BY family, token), k AS (SELECT *, count(*) OVER (PARTITION BY token) AS fams FROM c WHERE n >= greatest(2, ceil(size * 0.05))) SELECT family, count(*) AS n_core, count(*) FILTER (fams = 1) AS n_unique FROM k GROUP BY 1")
 def shared_support(spark, sf_dir):
-    t = _tokens(spark, sf_dir)
-    sizes = t.groupBy("family").agg(F.countDistinct("sample").alias("size"))
-    return audits.shared_support(t.groupBy("family", "token").agg(F.countDistinct("sample").alias("n")).join(sizes, "family"), 0.05)
+    counts, sizes = _counts(spark, sf_dir)
+    return audits.shared_support(counts.join(sizes, "family"), 0.05)
 
 
 @query("WITH e AS (SELECT unnest(range(0, 64)) AS d, vec_id, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT 'f' || a.d AS a, 'f' || b.d AS b, round(corr(a.x, b.x), 6) AS r FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.d < b.d GROUP BY ALL")

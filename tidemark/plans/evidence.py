@@ -8,6 +8,7 @@ from tidemark.functions import markup, net
 from tidemark.functions.roles import DOMAINS, classify_host, pattern
 from tidemark.operators import candidates, families, vectors
 from tidemark.plans.mapping import HOUR, P, packets, rounded, table
+from tidemark.storage import materialize
 
 QUERIES, ORACLES = {}, {}
 STEP, POST, PRE, GAP = 96 * HOUR, 48 * HOUR, 96 * HOUR, 6 * HOUR
@@ -115,21 +116,28 @@ def html_visible_text(spark, sf_dir):
 _TOK = """WITH tk AS (SELECT DISTINCT source AS family, doc_id AS sample, t AS token FROM (SELECT source, doc_id, unnest(list_distinct(string_split_regex(lower(text), '[\\x20\\x09-\\x0D]+'))) AS t FROM documents) WHERE length(t) >= 3)"""
 
 
-def _tokens(spark, sf_dir):
-    """Distinct words of three characters or more of each document, as the inventory's body tokens; a family is a source."""
-    d = table(spark, sf_dir, "documents")
-    words = F.array_distinct(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"))
-    return d.select(F.col("source").alias("family"), F.col("doc_id").alias("sample"), F.explode(words).alias("token")).where(F.length("token") >= 3)
+def _samples(spark, sf_dir):
+    """Each document's different words of three characters or more, as the inventory's body tokens; a family is a source."""
+    text = F.lower("text")
+    words = F.filter(F.array_distinct(F.split(text, r"[\x20\x09-\x0D]+")), lambda x: F.length(x) >= 3)
+    some = text.rlike(r"[^\x20\x09-\x0D]{3}")
+    return families.whole_samples(table(spark, sf_dir, "documents").select(F.col("source").alias("family"), F.col("doc_id").alias("sample"), words.alias("words"), some.alias("some")))
+
+
+def _counts(spark, sf_dir):
+    """The token counts and the sizes of the families."""
+    samples = _samples(spark, sf_dir)
+    return families.token_counts(samples), families.family_sizes(samples)
 
 
 @query(" SELECT token, count(DISTINCT family) AS df FROM tk GROUP BY 1", _TOK)
 def token_df(spark, sf_dir):
-    return families.document_frequency(_tokens(spark, sf_dir))
+    return families.document_frequency(_counts(spark, sf_dir)[0])
 
 
 @query(", s AS (SELECT family, count(DISTINCT sample) AS size FROM tk GROUP BY 1) SELECT family, token, count(DISTINCT sample) AS n, round(count(DISTINCT sample) / any_value(size), 6) AS coverage FROM tk JOIN s USING (family) GROUP BY 1, 2", _TOK)
 def token_coverage(spark, sf_dir):
-    return rounded(families.coverage(_tokens(spark, sf_dir)))
+    return rounded(families.coverage(*_counts(spark, sf_dir)))
 
 
 _RARE = _TOK + """, hd AS (SELECT DISTINCT family, token FROM tk), dq AS (SELECT token FROM hd GROUP BY 1 HAVING count(*) <= greatest(4, round((SELECT count(DISTINCT family) FROM hd) * 0.2))), ra AS (SELECT family, token FROM hd JOIN dq USING (token)),
@@ -138,18 +146,18 @@ sz AS (SELECT family, count(*) AS n FROM ra GROUP BY 1), pa AS (SELECT x.family
 
 @query(" SELECT a, b, shared, round(jaccard, 6) AS jaccard FROM pj", _RARE)
 def family_pair_jaccard(spark, sf_dir):
-    return rounded(families.pair_overlap(families.rare_tokens(_tokens(spark, sf_dir), 0.2)))
+    return rounded(families.pair_overlap(families.rare_overlap(*_counts(spark, sf_dir), 0.2)))
 
 
 @query(", e AS (SELECT a, b FROM pj WHERE jaccard >= 0.02 UNION SELECT b, a FROM pj WHERE jaccard >= 0.02), r AS (SELECT family AS f, family AS c FROM sz UNION SELECT r.f, e.b FROM r JOIN e ON r.c = e.a) SELECT f AS family, min(c) AS component FROM r GROUP BY 1", _RARE.replace("WITH", "WITH RECURSIVE", 1))
 def family_components(spark, sf_dir):
-    rare = families.rare_tokens(_tokens(spark, sf_dir), 0.2)
-    return families.merge_families(families.pair_overlap(rare).where("jaccard >= 0.02"), rare)
+    overlap = materialize(families.rare_overlap(*_counts(spark, sf_dir), 0.2), "overlap")
+    return families.merge_families(families.pair_overlap(overlap).where("jaccard >= 0.02"), overlap.where("a <=> b").select(F.col("a").alias("family")))
 
 
 @query(", s AS (SELECT family, count(DISTINCT sample) AS size FROM tk GROUP BY 1), c AS (SELECT family, token, count(DISTINCT sample) AS n, any_value(size) AS size, row_number() OVER (PARTITION BY family ORDER BY token) AS k FROM tk JOIN s USING (family) GROUP BY family, token), g AS (SELECT family, string_agg(token, chr(10) ORDER BY token) FILTER (n >= greatest(2, ceil(size * 0.5))) AS t, string_agg(token, chr(10) ORDER BY token) FILTER (k <= 20) AS u FROM c GROUP BY 1) SELECT family, 'family:' || substr(sha256(coalesce(t, u)), 1, 18) AS key FROM g", _TOK)
 def family_key_hash(spark, sf_dir):
-    return families.family_keys(_tokens(spark, sf_dir))
+    return families.family_keys(*_counts(spark, sf_dir))
 
 
 @query(" SELECT least(a.event_type, b.event_type) AS a, greatest(a.event_type, b.event_type) AS b, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) a JOIN (SELECT DISTINCT user_id, event_type FROM events) b ON a.user_id = b.user_id AND a.event_type < b.event_type GROUP BY ALL")
