@@ -392,3 +392,21 @@ def test_tokens_are_counted_before_they_are_shuffled(spark, tmp_path, name):
     if name != "family_components":  # its rounds are planned apart
         plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert not re.search(r"hashpartitioning\([^)\n]*sample", plan) and max(line.count("split(") for line in plan.splitlines()) == 1
+
+
+def test_concurrent_flows_make_no_bins(spark):
+    """Flows against a count by bin; one flow of 10^12 bins, which made no array before; gaps and flows that meet in a bin."""
+    draw, rows = random.Random(2), []
+    for i in range(300):
+        rows.append((i, i % 4, f"f{draw.randint(0, 9)}", draw.randint(0, 30) * 7.5 + (1000 if i % 3 == 0 and i % 4 == 1 else 0)))
+    df = spark.createDataFrame([*rows, (300, 9, "f", 0.5), (301, 9, "f", 1e12 - 0.5), (302, 9, "g", 3.0)], "event_id long, capture_id long, flow_id string, ts double")
+    got = {r.capture_id: (r.max_flows, r.mean_flows) for r in windows.concurrent_flows(df).collect()}
+    assert got.pop(9) == (2, pytest.approx(1 + 1e-12))
+    for c in range(4):
+        bins = {}
+        for f in range(10):
+            at = [int(t // 1) for _, k, flow, t in rows if k == c and flow == f"f{f}"]
+            for b in range(min(at), max(at) + 1) if at else ():
+                bins[b] = bins.get(b, 0) + 1
+        assert got.pop(c) == (max(bins.values()), pytest.approx(sum(bins.values()) / len(bins)))
+    assert not got

@@ -124,10 +124,18 @@ def flow_records(packets: DataFrame) -> DataFrame:
 
 
 def concurrent_flows(packets: DataFrame, bin_s: float = 1.0) -> DataFrame:
-    """Per capture the largest and the mean number of flows over the time bins that any flow occupies."""
+    """Per capture the largest and the mean number of flows over the time bins that any flow occupies.
+
+    A flow makes two rows, in the bin it opens and after that it closes in; what
+    is open after the steps of a bin stays so to the next step, so bins are
+    counted and not made.
+    """
     per = packets.groupBy("capture_id", "flow_id").agg(F.floor(F.min("ts") / bin_s).alias("a"), F.floor(F.max("ts") / bin_s).alias("z"))
-    each = per.select("capture_id", F.explode(F.sequence("a", "z")).alias("bin")).groupBy("capture_id", "bin").count()
-    return each.groupBy("capture_id").agg(F.max("count").alias("max_flows"), F.avg("count").alias("mean_flows"))
+    steps = F.array(F.struct(F.col("a").alias("bin"), F.lit(1).alias("d")), F.struct((F.col("z") + 1).alias("bin"), F.lit(-1).alias("d")))
+    each = per.where("a is not null").select("capture_id", F.explode(steps).alias("s")).groupBy("capture_id", "s.bin").agg(F.sum("s.d").alias("d"))
+    w = Window.partitionBy("capture_id").orderBy("bin")
+    each = each.withColumn("open", F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("bins", F.lead("bin").over(w) - F.col("bin")).where("open > 0")
+    return each.groupBy("capture_id").agg(F.max("open").alias("max_flows"), (F.sum(F.col("open") * F.col("bins")) / F.sum("bins")).alias("mean_flows"))
 
 
 def post_load_end(packets: DataFrame, bin_s: float, loud_rate: float, quiet_s: float, cap_s: float, least_bytes: int) -> DataFrame:
